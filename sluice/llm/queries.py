@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import fingerprints, lines, mixing
+from sluice.llm import bitsliced, fingerprints, lines, mixing, packing, simhash
 from sluice.llm.common import load
 
 
@@ -12,7 +12,10 @@ def _over(module, table: str = "documents"):
 
 QUERIES = {
     "op1_fingerprints": _over(fingerprints),
+    "op2_simhash": _over(simhash),
     "op4_line_dedup": _over(lines),
+    "op5_packing": _over(packing),
     "op6_source_mix": _over(mixing),
+    "op10_bitsliced_topk": _over(bitsliced, "embeddings"),
 }
-ORACLES = {"op4_line_dedup": lines.ORACLE}
+ORACLES = {"op4_line_dedup": lines.ORACLE, "op10_bitsliced_topk": bitsliced.ORACLE}
