@@ -129,7 +129,7 @@ def patterns(bins: int, least: int) -> list[tuple[int, ...]]:
     return [(bins,), *two, *three]
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW, width: int = 32, filler: int = 256) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(histogram: dict[int, int], window: int = WINDOW, width: int = 128, filler: int = 512) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(length, first rank, repeats, first sequence, offset) of every slot, and the number of sequences.
 
     Lengths are counted in bins of `width` tokens, rounded up. Patterns of up to three bins that fill the window are
