@@ -40,7 +40,13 @@ def written(df: DataFrame) -> DataFrame:
     """df cut from its lineage: written to the shared folder as Parquet and read back. The files go when Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")  # the shuffle files of this write go when it is done
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
     atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.sluice_path = path

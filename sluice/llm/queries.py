@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import bitsliced, fingerprints, lines, mixing, packing, simhash
+from sluice.llm import bitsliced, fingerprints, lines, mixing, packing, simhash, substrings
 from sluice.llm.common import load
 
 
@@ -13,6 +13,7 @@ def _over(module, table: str = "documents"):
 QUERIES = {
     "op1_fingerprints": _over(fingerprints),
     "op2_simhash": _over(simhash),
+    "op3_substring_dedup": _over(substrings),
     "op4_line_dedup": _over(lines),
     "op5_packing": _over(packing),
     "op6_source_mix": _over(mixing),
