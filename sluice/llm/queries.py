@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import bitsliced, fingerprints, lines, mixing, packing, simhash, substrings
+from sluice.llm import bitsliced, fingerprints, html_extract, langid, lines, mixing, packing, simhash, substrings, toxicity
 from sluice.llm.common import load
 
 
@@ -17,6 +17,9 @@ QUERIES = {
     "op4_line_dedup": _over(lines),
     "op5_packing": _over(packing),
     "op6_source_mix": _over(mixing),
+    "op7_toxicity": lambda spark, sf_dir: toxicity.query(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")),
+    "op8_language_id": _over(langid),
+    "op9_html_text": _over(html_extract, "pages"),
     "op10_bitsliced_topk": _over(bitsliced, "embeddings"),
 }
 ORACLES = {"op4_line_dedup": lines.ORACLE, "op10_bitsliced_topk": bitsliced.ORACLE}
