@@ -52,18 +52,32 @@ def stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "pa
     return df.select(*columns) if columns else df
 
 
-def marked_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str, extension: str, marker: str, per_trigger: int | None = None) -> DataFrame:
-    """A stream of the paths of marker files; read_marked() in foreachBatch turns each batch into rows."""
-    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", f"*{marker}")
-    if per_trigger:
-        reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.load(path).select("path")
+class Marked:
+    """Data files as their markers appear: poll() gives the rows of those not given before, as a batch.
 
+    Spark's file streams skip empty files, and markers are empty; so the folder is listed on the driver (names alone),
+    and the names given so far are kept under `state`, written before the next poll can see them.
+    """
 
-def read_marked(spark: SparkSession, markers: DataFrame, schema: T.StructType, kind: str, extension: str, marker: str) -> DataFrame:
-    """The rows of the data files of one batch of marker paths (a batch is bounded by maxFilesPerTrigger)."""
-    paths = [r["path"][: -len(marker)] + extension for r in markers.collect()]
-    reader = spark.read.format(kind).schema(schema)
-    if kind == "csv":
-        reader = reader.option("header", "true")
-    return reader.load(paths) if paths else spark.createDataFrame([], schema)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, kind: str, extension: str, marker: str, state: str):
+        self.spark, self.path, self.schema, self.kind, self.extension, self.marker, self.state = spark, path, schema, kind, extension, marker, state
+
+    def given(self) -> set[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.state)
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return set()
+        return {r["path"] for r in self.spark.read.parquet(self.state).collect()}
+
+    def poll(self) -> DataFrame | None:
+        """The rows of new files; None where there is none. Call done() with the same files' rows written."""
+        self.now = [f for f in marked(listed(self.spark, self.path), self.extension, self.marker) if f not in self.given()]
+        if not self.now:
+            return None
+        reader = self.spark.read.format(self.kind).schema(self.schema)
+        if self.kind == "csv":
+            reader = reader.option("header", "true")
+        return reader.load(self.now)
+
+    def done(self) -> None:
+        if self.now:
+            self.spark.createDataFrame([(f,) for f in self.now], "path string").coalesce(1).write.mode("append").parquet(self.state)

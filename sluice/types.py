@@ -75,7 +75,7 @@ def rendered(c: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         out = F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         out = F.regexp_replace(F.regexp_replace(out, r"\.000000", ""), r"Z$", "+00:00")
-    elif kind == POINT:
+    elif isinstance(kind, T.StructType) and type_name(kind) == "Point":
         out = F.concat(F.lit("POINT("), c["x"].cast("string"), F.lit(", "), c["y"].cast("string"), F.lit(")"))
     elif isinstance(kind, T.VariantType):
         out = F.to_json(c)
