@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import os
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -10,58 +11,99 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.common import written
+from sluice.llm.words import split
 
 WINDOW, END = 4096, 1
-#: Words whose ids a Python worker keeps between batches.
-CACHED = 400_000
+#: Words whose ids a Python worker keeps between batches and tasks.
+CACHED = 500_000
+#: Marks that end a word and are a token run of their own after a letter or number.
+TAIL = ".,;:!?"
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches flat[start : start + n] end to end, and where each begins, plus the end."""
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])], upto
 
 
 class Ids:
-    """Token ids of texts by a tokenizer of whole words: white space separates pre-tokens, so each distinct word of a
-    batch is tokenized once, and a text's ids are those of its words in turn."""
+    """Token ids of texts by a tokenizer of whole words: white space separates pre-tokens, so each distinct word is
+    tokenized once, and a text's ids are those of its words in turn. The words met first are kept, CACHED at most."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.size = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.at)
-                if k == len(self.start):
-                    self.start, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.n))
-                while self.size + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.size : self.size + len(ids)] = ids
-                self.at[word], self.start[k], self.n[k] = k, self.size, len(ids)
-                self.size += len(ids)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.at: dict[str, int] = {"": 0}
+        self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has. Words of letters alone go as one text, cut where tokens end words."""
+        flat, sizes = [], []
+        for i in range(0, len(words), 5000):
+            part = words[i : i + 5000]
+            if all(map(str.isalpha, part)):
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part) and cuts[-1] == len(ids):
+                    flat.append(ids)
+                    sizes.append(np.diff(np.concatenate([[0], cuts])))
+                    continue
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            flat.append(np.array([x for e in each for x in e], np.uint32))
+            sizes.append(np.array([len(e) for e in each], np.int64))
+        return (np.concatenate(flat), np.concatenate(sizes)) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, start, how many) of each word."""
+        missing = {w for w in words if w not in self.at}
+        new = [w for w in missing if w.isalpha()]
+        new += missing.difference(new)
+        ids, n = self.encoded(new)
+        start = np.cumsum(n) - n + len(self.flat)
+        flat, starts, sizes = np.concatenate([self.flat, ids]), np.concatenate([self.start, start]), np.concatenate([self.n, n])
+        known = len(self.at)
+        own = dict(zip(new, range(known, known + len(new)), strict=True))
+        place = np.fromiter((self.at[w] if w in self.at else own[w] for w in words), np.int64, len(words))
+        if known + len(new) <= CACHED:
+            self.at |= own
+            self.flat, self.start, self.n = flat, starts, sizes
+        return flat, starts[place], sizes[place]
 
     def batch(self, texts):
         """texts (an Arrow string array) -> ids of all texts end to end, and where each text starts, plus the end."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        ends = np.asarray(words.offsets)
-        coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.at) > CACHED:
-            self.forget()
-        self.learn([w for w in distinct if w not in self.at])
-        place = np.fromiter((self.at[w] for w in distinct), np.int64, len(distinct))
-        place = place[np.asarray(coded.indices)] if len(distinct) else place
-        n, start = self.n[place], self.start[place]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flat = self.flat[np.repeat(start - upto[:-1], n) + np.arange(upto[-1])]
-        return flat, upto[ends - ends[0]]
+        distinct, place, at = split(texts)
+        k = len(distinct)
+        bases, tails, tail_of = [], {"": k}, []
+        for w in distinct:
+            base = w.rstrip(TAIL)
+            tail = ""
+            if base and base[-1].isalnum():
+                tail = w[len(base) :]
+            else:
+                base = w
+            tail_of.append(tails.setdefault(tail, k + len(tails)))
+            bases.append(base.lower() if base.isascii() and "<|" not in base else base)  # all ASCII is lower-cased anyway
+        flat, start, n = self.look_up(bases + list(tails))
+        order = np.stack([np.arange(k), np.array(tail_of, np.int64)], 1).ravel()  # each base, then its tail
+        flat, upto = _gather(flat, start[order], n[order])
+        starts, sizes = upto[:-1:2], n[order].reshape(k, 2).sum(1)
+        out, upto = _gather(flat, starts[place], sizes[place])
+        return out, upto[at]
+
+
+_KEPT: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """This worker's Ids for a tokenizer."""
+    if path not in _KEPT:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
+        _KEPT[path] = Ids(path)
+    return _KEPT[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -74,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens, part, seen = Ids(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        tokens, part, seen = ids_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         names = ["_id", "piece", "start", "length", "crc", "_part", "_nth"] + ["ids"] * with_ids
         for b in batches:
             step = 2000  # rows: bounds what is held at once
@@ -246,7 +288,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     slots, _ = plan(histogram, window)
     slots.sort()
     table = np.array(slots, np.int64).reshape(-1, 5)
-    ranked = pieces.join(counts, (pieces["length"] == counts["_l"]) & (pieces["_part"] == counts["_p"])).withColumn("_rank", F.col("_base") + F.col("_nth")).drop("_l", "_p", "_c", "_base", "_part", "_nth")
+    ranked = pieces.join(counts.hint("merge"), (pieces["length"] == counts["_l"]) & (pieces["_part"] == counts["_p"])).withColumn("_rank", F.col("_base") + F.col("_nth")).drop("_l", "_p", "_c", "_base", "_part", "_nth")
 
     def place(batches):
         import pyarrow as pa
