@@ -92,7 +92,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows, buckets, heads = _bucketed(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     if not buckets:
-        return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).alias("_bucket"), F.lit(0).alias("_rn"), F.lit("").alias("_next"))
+        return rows.select("_id", "_k", "_text", F.lit(0).alias("_bucket"), F.lit(0).alias("_guest"), F.lit("").alias("_next"), F.lit(0).alias("_rn"))
     guests = [(heads[i - 1], buckets[i], 1) for i in range(1, len(buckets))] + [(heads[-1], buckets[0], 2)]
     to = F.broadcast(spark.createDataFrame(guests, "_head bigint, _to int, _guest int"))
     guest = rows.where(F.col("_k").isin(sorted(set(heads)))).join(to, F.col("_k") == F.col("_head")).select("_id", "_k", "_text", F.col("_to").alias("_bucket"), "_guest")
