@@ -11,20 +11,23 @@ from pyspark.sql import types as T
 from sluice.errors import PipelineError, UnknownFunction
 from sluice.functions import python as python_functions
 from sluice.plans.rewrite import Options, Query, rewrite
+from sluice.shipping import ship
 from sluice.types import spark_type
 
 
 class Engine:
     """Tables by name, user functions, and what a script makes of them.
 
-    `compat` and `extended` are the modes of sluice.plans.rewrite.Options. Tables are DataFrames, streaming or not;
-    nothing is read until a result is used.
+    `compat` and `extended` are the modes of sluice.plans.rewrite.Options. Errors of expressions (a bad cast, division
+    by zero) fail the query; with `tolerant` they give NULL instead. Tables are DataFrames, streaming or not; nothing
+    is read until a result is used.
     """
 
-    def __init__(self, spark: SparkSession, compat: bool = False, extended: bool = False):
-        self.spark, self.compat, self.extended = spark, compat, extended
+    def __init__(self, spark: SparkSession, compat: bool = False, extended: bool = False, tolerant: bool = False):
+        self.spark, self.compat, self.extended, self.tolerant = spark, compat, extended, tolerant
         self.python: dict[str, Callable] = {}
         self.udfs: set[str] = set()
+        ship(spark)
         python_functions.register(spark)
 
     def table(self, name: str, df: DataFrame) -> Engine:
@@ -57,13 +60,22 @@ class Engine:
         self._typed(options)
         return out
 
+    def _planned(self, sql: str) -> DataFrame:
+        """Spark fixes how errors are met when it analyses a query, so the setting is needed here alone."""
+        before = self.spark.conf.get("spark.sql.ansi.enabled")
+        self.spark.conf.set("spark.sql.ansi.enabled", str(not self.tolerant).lower())
+        try:
+            return self.spark.sql(sql)
+        finally:
+            self.spark.conf.set("spark.sql.ansi.enabled", before)
+
     def run(self, script: str) -> dict[str, DataFrame]:
         """The output tables of a script, by their INTO names. A statement without INTO is an error, as nothing could use it."""
         out = {}
         for q in self.rewrite(script):
             if not q.into:
                 raise PipelineError("SELECT needs INTO")
-            out[q.into] = self.spark.sql(q.sql)
+            out[q.into] = self._planned(q.sql)
         return out
 
     def query(self, sql: str) -> DataFrame:
@@ -71,7 +83,7 @@ class Engine:
         found = self.rewrite(sql)
         if len(found) != 1:
             raise PipelineError(f"{len(found)} statements where one is due")
-        return self.spark.sql(found[0].sql)
+        return self._planned(found[0].sql)
 
     def validate(self, script: str) -> dict[str, T.StructType]:
         """The schemas of a script's output tables; raises what is wrong with it. Reads no data."""

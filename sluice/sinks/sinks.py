@@ -62,11 +62,31 @@ def signed_rows(changes: DataFrame, collapsing: bool = True) -> DataFrame:
     return changes.where(ok).drop("_sign", "_seq")
 
 
-def jdbc_writer(url: str, table: str, collapsing: bool = True, **options: str):
-    """For foreachBatch: appends signed rows by JDBC, and notes the batch in `replication` after them."""
+class Replication:
+    """The last batch that a sink has taken, by table, under `path`; a batch that comes again is left out."""
+
+    def __init__(self, spark: SparkSession, path: str, table: str):
+        self.spark, self.path, self.table = spark, f"{path.rstrip('/')}/{table}", table
+
+    def last(self) -> int:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return -1
+        return self.spark.read.parquet(self.path).agg(F.max("txid")).first()[0]
+
+    def took(self, batch: int) -> None:
+        self.spark.createDataFrame([(self.table, batch)], "table string, txid long").coalesce(1).write.mode("append").parquet(self.path)
+
+
+def jdbc_writer(url: str, table: str, collapsing: bool = True, replication: Replication | None = None, **options: str):
+    """For foreachBatch: appends signed rows by JDBC, in batches of 100 unless options say otherwise."""
 
     def write(df: DataFrame, batch: int) -> None:
-        signed_rows(df, collapsing).write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()
+        if replication and batch <= replication.last():
+            return
+        signed_rows(df, collapsing).write.format("jdbc").option("url", url).option("dbtable", table).options(**{"batchsize": "100"} | options).mode("append").save()
+        if replication:
+            replication.took(batch)
 
     return write
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators.changelog import diff, fold
+from sluice.shipping import ship
 
 
 class View:
@@ -69,6 +70,7 @@ def retractable_counts(changes: DataFrame, by: str, value: str, checkpoint: str
     old count and sum with _sign -1 and the new with +1. State is two numbers per group, kept by transformWithState."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    ship(changes.sparkSession)
     kind = changes.schema[by].dataType.simpleString()
 
     class Counts(StatefulProcessor):

@@ -1,6 +1,7 @@
 """Change logs, views and sinks; the result of the changes is always that of the table they make."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,10 @@ def test_sinks(spark, tmp_path):
         sinks.signed_rows(changes, collapsing=False).collect()
     ddl = sinks.clickhouse_ddl("t", ROW, ["id"])
     assert "`id` Int64" in ddl and "`g` Nullable(String)" in ddl and "`sign` Int8" in ddl and "ORDER BY (`id`)" in ddl
+    noted = sinks.Replication(spark, str(tmp_path / "r"), "t")
+    assert noted.last() == -1
+    noted.took(4)
+    assert noted.last() == 4
     dummy = sinks.Dummy()
     dummy(changes)
     assert dummy.rows == 4
@@ -162,3 +167,21 @@ def test_other_messages(spark, tmp_path):
     assert [(int(r["id"]), int(r["block_number"]), bytes(r["data"])) for r in external.ethereum_logs(eth).collect()] == [(1600002, 16, b"\x0f")]
     trace = spark.createDataFrame([('[{"result":{"type":"CALL","from":"a","to":"b","value":"0x5","gas":"0x1","gasUsed":"0x1","calls":[{"type":"INNER","from":"b","to":"c","gas":"0x1","gasUsed":"0x1"}]}}]',)], "value string")
     assert [(r["type_field"], int(r["value"])) for r in external.ethereum_traces(trace).collect()] == [("CALL", 5), ("INNER", 0)]
+
+
+def test_telemetry_counts(spark, tmp_path):
+    from sluice.streaming.telemetry import Telemetry
+
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = Telemetry()
+    spark.streams.addListener(seen)
+    try:
+        q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.queryName("counted").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(50):
+            if seen.operations.get("counted") == 10:
+                break
+            time.sleep(0.1)
+        assert seen.operations["counted"] == 10 and seen.pipeline_latency["counted"] >= 0
+    finally:
+        spark.streams.removeListener(seen)

@@ -131,3 +131,9 @@ def test_json_paths():
     assert find("$.s.length()", v) == [3]
     with pytest.raises(ValueError):
         find("$.s[", v)
+
+
+def test_errors_fail_or_give_null(spark, engine):
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|DIVIDE_BY_ZERO"):
+        one(engine, "CAST(s AS INT)")
+    assert one(Engine(spark, tolerant=True), "CAST(s AS INT)") is None
