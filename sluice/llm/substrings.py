@@ -117,7 +117,7 @@ def _windows(batch, window: int):
         p, row, begin, name = p[inside], row[inside], begin[inside], name[inside]
         where = np.where(begin < 0, -1 - (p - at[row]), begin + lo - at[row])
         spans = [Spans(part, b) for b in BASES]
-        yield row, p - at[row], where, name, lambda keep, q=p - lo, s=spans: [x(q[keep], q[keep] + window).view(np.int64) for x in s]
+        yield row, p - at[row], where, name, lambda keep, q=p - lo, s=spans: [s[0](q[keep], q[keep] + window).view(np.int64), s[1](q[keep], q[keep] + window).astype(np.uint32).view(np.int32)]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,7 +168,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     on = rows["_id"].eqNullSafe(likely["_id"]) & rows["_th"].eqNullSafe(likely["_th"])
     opened = rows.join(likely.hint("shuffle_hash"), on).select(rows["_id"], rows["_th"], "_text", "_wheres")
-    opened = written(opened.mapInArrow(open_up, f"_id {kind}, _th bigint, _start int, _h1 bigint, _h2 bigint"))
+    opened = written(opened.mapInArrow(open_up, f"_id {kind}, _th bigint, _start int, _h1 bigint, _h2 int"))
     dropped(likely)
     twice = opened.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h1", "_h2")
     out = written(opened.join(twice, ["_h1", "_h2"]).groupBy("_id", "_th").agg(F.collect_set("_start").alias("_starts")))
@@ -185,7 +185,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Shuffled are: a name per anchor (one in some 12 words), then the texts that share a name, then two hashes for
     each of their windows that has a shared anchor, then the texts again, to lose their words. Windows are equal just
-    if both hashes are, 128 bits in all.
+    if both hashes are, 96 bits in all.
     """
     found = repeats(docs, id_col, text_col, window)
     rows = _rows(docs, id_col, text_col)
