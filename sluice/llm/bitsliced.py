@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import mapped, written
 
 #: Rows of an index block, queries of a query block: what one task holds.
 ROWS, QUERIES = 1 << 16, 128
@@ -143,7 +143,7 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str, scale: float, every:
                 yield block(dims, i, v)
 
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")).where("_id IS NOT NULL AND _v IS NOT NULL")
-    return rows.repartition(n).mapInArrow(run, "kind int, dims int, block long, ids binary, a binary, b int, data binary")
+    return mapped(rows.repartition(n), run, "kind int, dims int, block long, ids binary, a binary, b int, data binary")
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -196,7 +196,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
                 columns = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q_block", "q_row", "query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "q_block long, q_row long, query_id long, vec_id long, score long")
+    found = mapped(pairs, run, "q_block long, q_row long, query_id long, vec_id long, score long")
     order = W.partitionBy("q_block", "q_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.shipping import ship
+
 #: The white space that separates words, and a word, as Java patterns.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,3 +84,21 @@ def join_small(big: DataFrame, small: DataFrame, big_key: str, small_key: str, s
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, left[big_key].eqNullSafe(right[small_key]) & (left["_salt"] == right["_salt_of"]), "left").drop(right[small_key], "_salt", "_salt_of")
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def join_salted(big: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, share: int = 1000, salts: int = 64) -> DataFrame:
+    """Inner join on columns of one name. keys (a written table, one row per key) has in `n` how many of big's `total`
+    rows have the key, or fewer. Keys with more than total / share, so `share` keys at most, are told to all tasks, and
+    the rows of each are dealt over `salts` partitions, where a copy of the key's row meets them."""
+    is_hot = F.col(n) * share > total
+    hot = keys.where(is_hot).select(*on, F.lit(True).alias("_hot"))
+    left = big.join(F.broadcast(hot), on, "left")
+    left = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    right = keys.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")

@@ -9,6 +9,8 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import mapped
+
 #: HTML element names by what they do.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "svg", "math", "select", "button", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -190,7 +192,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([main_text(h) for h in b.column(html_col).to_pylist()], pa.string())], names=[*keep, "_main"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep]
-    return pages.mapInArrow(run, ", ".join([*kinds, "_main string"]))
+    return mapped(pages, run, ", ".join([*kinds, "_main string"]))
 
 
 def query(spark, pages: DataFrame) -> DataFrame:

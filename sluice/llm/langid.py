@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import mapped, written
 from sluice.llm.words import ODD, Runs, mixed, split
 
 #: Hash buckets of letter trigrams; rounds of expectation-maximisation; the prior's weight per language, in words.
@@ -66,7 +66,7 @@ def learn(docs: DataFrame, most: int = LEARN_FROM, id_col: str = "doc_id", text_
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = mapped(rows, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique().tolist())
     counts = np.full((BUCKETS, len(langs)), 0.1)
     for k, lang in enumerate(langs):
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, _th bigint, _lang_pred string, _score double")
+    return mapped(rows, run, f"_id {kind}, _th bigint, _lang_pred string, _score double")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import mapped, written
 from sluice.llm.words import split
 
 WINDOW, END = 4096, 1
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, piece int, start long, length long, crc long, _part int, _nth long" + ", ids array<long>" * with_ids)
+    return mapped(rows, run, f"_id {kind}, piece int, start long, length long, crc long, _part int, _nth long" + ", ids array<long>" * with_ids)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
@@ -302,7 +302,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(t[:, 3] + at % np.maximum(t[:, 2], 1)), pa.array(t[:, 4] + at // np.maximum(t[:, 2], 1) * n)], names=[*keep, "sequence_id", "offset"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank"]
-    return ranked.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    return mapped(ranked, place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import mapped, written
 from sluice.llm.words import ODD, Runs, mixed, split
 
 #: Hash buckets of word parts; those the classifier keeps; labelled rows that it learns from, at most.
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, id_col: st
     bad, n = int(totals["bad"] or 0), int(totals["n"])
     if not bad or bad == n:
         return place, np.zeros(0), -10.0 if not bad else 10.0
-    c = sample.mapInArrow(count, "feature long, bad long, n long").groupBy("feature").agg(F.sum("bad").cast("double").alias("b"), F.sum("n").cast("double").alias("a")).where("a >= 3")
+    c = mapped(sample, count, "feature long, bad long, n long").groupBy("feature").agg(F.sum("bad").cast("double").alias("b"), F.sum("n").cast("double").alias("a")).where("a >= 3")
     good, p, q = F.col("a") - F.col("b"), F.col("b") / F.col("a"), bad / n
     log = lambda x: F.when(x > 0, F.log(x)).otherwise(F.lit(0.0))
     tells = F.col("b") * (log(p) - float(np.log(q))) + good * (log(1 - p) - float(np.log(1 - q)))
@@ -174,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, id_col: st
                     out.append([r.tolist() for r in np.split(feature, np.searchsorted(row, np.arange(1, b.num_rows)))])
                 yield pa.RecordBatch.from_arrays([b.column("_toxic"), *(pa.array(o, pa.list_(pa.int64())) for o in out), pa.array([o is not None for o in other])], names=["_toxic", "x", "other", "has"])
 
-    rows = sample.mapInArrow(mark, "_toxic int, x array<long>, other array<long>, has boolean").toPandas()
+    rows = mapped(sample, mark, "_toxic int, x array<long>, other array<long>, has boolean").toPandas()
     x = [np.asarray(v, np.int64) for v in rows["x"]]
     pairs = [(a, np.asarray(o, np.int64)) for a, o, h in zip(x, rows["other"], rows["has"], strict=True) if h]
     return place, *fit(x, rows["_toxic"].to_numpy().astype(float), pairs, len(kept))
@@ -196,7 +196,7 @@ def score(docs: DataFrame, place: np.ndarray, weights: np.ndarray, bias: float,
                 yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["_id", "_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _score double")
+    return mapped(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), run, f"_id {kind}, _score double")
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
