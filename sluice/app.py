@@ -119,6 +119,10 @@ class App:
             return external.package(self.spark, c.tag.lower(), **{k: str(x) for k, x in v.items()})
         raise ConfigError(f"{c.tag} is not built")
 
+    def list_tables(self) -> dict[str, dict]:
+        """The sources by name and their schemas, as their connections give them; no data is read beyond that."""
+        return {s["name"]: Schema(self._source(s).schema).to_json() for s in self.config.sources}
+
     def plan(self) -> dict[str, DataFrame]:
         """The output tables. Each sink's table is an output or a source; each output has a sink."""
         for s in self.config.sources:

@@ -70,6 +70,26 @@ def landed(spark: SparkSession, folder: str, row: T.StructType, streaming: bool
     return reader.schema(kind).json(folder).select(F.upper("op").alias("_op"), F.col("seq").alias("_seq"), "old", "new")
 
 
+def landed_arrow(spark: SparkSession, folder: str, row: T.StructType) -> DataFrame:
+    """Rows of Arrow stream files as gRPC receivers of the Arrow adapter land them; columns are taken by name."""
+    from sluice.shipping import ship
+
+    ship(spark)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(row)
+        for files in batches:
+            for content in files.column("content"):
+                with pa.ipc.open_stream(content.as_buffer()) as reader:
+                    for b in reader:
+                        yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in want], schema=want)
+
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, row)
+
+
 def webhook(bodies: DataFrame, table: str, row: T.StructType, method: str = "method", body: str = "body", seq: str = "seq") -> DataFrame:
     """A change log from requests: POST inserts and DELETE deletes the records listed under the table's name."""
     found = F.from_json(F.col(body), T.StructType([T.StructField(table, T.ArrayType(row))]))[table]

@@ -79,8 +79,46 @@ def test_types_and_schemas(spark):
     assert tuple(got) == ("TRUE", "2020-01-01T00:00:00+00:00", "POINT(1.0, 2.0)", "")
 
 
-def test_onnx_function_needs_a_model(spark):
+def _field(number, value):
+    """One protobuf field: an int as a varint, bytes, or text."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out += bytes([n & 127 | 128])
+            n >>= 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _model(width):
+    """An ONNX model that sums the columns of a float matrix."""
+
+    def tensor(name, columns):
+        shape = _field(1, _field(2, "n")) + _field(1, _field(1, columns))
+        return _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, shape)))
+
+    axes = _field(1, "axes") + _field(8, 1) + _field(20, 7)
+    node = _field(1, "x") + _field(2, "y") + _field(4, "ReduceSum") + _field(5, axes)
+    graph = _field(1, node) + _field(2, "g") + _field(11, tensor("x", width)) + _field(12, tensor("y", 1))
+    return _field(1, 6) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 11))
+
+
+def test_functions_of_models_and_json(spark, tmp_path):
+    from sluice.engine import Engine
     from sluice.udf import models
 
-    assert models.onnx("/nowhere.onnx") is not None
-    assert models.json_function("json", "dumps") is not None
+    (tmp_path / "sum.onnx").write_bytes(_model(2))
+    engine = Engine(spark).udf("summed", models.onnx(str(tmp_path / "sum.onnx"))).udf("sorted_json", models.json_function("builtins", "sorted"))
+    engine.table("m", spark.createDataFrame([(1.0, 2.5, "[3,1]"), (-1.0, 1.0, None)], "a double, b double, j string"))
+    rows = engine.query("SELECT summed(a, b) AS s, sorted_json(j) AS j FROM m").collect()
+    assert [tuple(r) for r in rows] == [(3.5, "[1, 3]"), (0.0, None)]
+
+
+def test_tables_are_listed(spark, text):
+    listed = app.App(spark, app.load(text)).list_tables()
+    assert [f["name"] for f in listed["users"]["schema"]["fields"]] == ["id", "name"] and "items" in listed

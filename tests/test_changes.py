@@ -185,3 +185,13 @@ def test_telemetry_counts(spark, tmp_path):
         assert seen.operations["counted"] == 10 and seen.pipeline_latency["counted"] >= 0
     finally:
         spark.streams.removeListener(seen)
+
+
+def test_arrow_landing_files(spark, tmp_path):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"name": ["a", None], "id": pa.array([1, 2], pa.int32())})
+    with pa.ipc.new_stream(str(tmp_path / "x.arrows"), batch.schema) as w:
+        w.write_batch(batch)
+    kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    assert got(messages.landed_arrow(spark, str(tmp_path), kind)) == [(1, "a"), (2, None)]

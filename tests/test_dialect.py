@@ -137,3 +137,11 @@ def test_errors_fail_or_give_null(spark, engine):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|DIVIDE_BY_ZERO"):
         one(engine, "CAST(s AS INT)")
     assert one(Engine(spark, tolerant=True), "CAST(s AS INT)") is None
+
+
+def test_compat_booleans(spark, engine):
+    e = Engine(spark, compat=True)
+    assert e.query("SELECT a FROM t0 WHERE NOT (b > 1 AND a > 1)").count() == 2
+    assert one(e, "b = 2 OR s = NULL", "a = 2") is False
+    assert one(e, "b IN (1, NULL)", "a = 2") is True and one(e, "b NOT IN (1, NULL)", "a = 1") is True
+    assert one(engine, "b IN (1, NULL)", "a = 2") is None
