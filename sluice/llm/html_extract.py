@@ -19,7 +19,7 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|search|tags?|copyright|skip|hidden|sr-only)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsbygoogle|adbox|adslot|adunit|leaderboard|outbrain|taboola|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|search|tags?|copyright|skip|hidden|sr-only)(?:$|[\s_-]|\d)",
     re.I,
 )
 
@@ -43,7 +43,8 @@ def _is_aside(tag: str, attrs: str) -> bool:
     a = {k.lower(): x or y or z for k, x, y, z in ATTR.findall(attrs)}
     if re.search(r"(?:^|\s)hidden(?:$|[\s=/])", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)) or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True
-    return a.get("role", "").lower() in ROLES or bool(NAMES.search(a.get("class", ""))) or bool(NAMES.search(a.get("id", "")))
+    named = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a.get(k, "")) for k in ("class", "id")]  # sideBar as side-bar
+    return a.get("role", "").lower() in ROLES or any(map(NAMES.search, named))
 
 
 def blocks(html: str):

@@ -126,6 +126,7 @@ def test_main_text_of_pages(spark):
         ("<div><a>Home</a> <a>News</a></div><div><div><p>Article text, which is long enough. It goes on, and on.</p><p>Again, some text. It is fine.</p></div></div><div><a>Terms</a> | <a>Privacy</a></div>", "Article text, which is long enough. It goes on, and on. Again, some text. It is fine."),
         ('<main><div role="alert">We use cookies, ok?</div><section><h2>A</h2><p>Some text, here.</p></section><section><p>Other text that is long, and so on.</p></section></main><aside>Zzz, zzz.</aside>', "A Some text, here. Other text that is long, and so on."),
         ("<article><table><tr><td>a<td>b<tr><td>c</table><p>Text, and text.</article>", "a b c Text, and text."),
+        ('<article><p>Good text, and more of it.</p><ins class="adsbygoogle">Buy, buy, buy.</ins><div id="userComments"><p>Nice, nice.</p></div><div class="cookieBar">We use, like all, cookies.</div></article>', "Good text, and more of it."),
         ("<p>un<b>brok</b>en &#233;&eacute;&nbsp;x", "unbroken éé x"),
     ],
 )
