@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACE, ascii_lower, let
+from sluice.llm.common import SPACE, ascii_lower, join_salted, let, written
 
 
 def line_key(line: Column) -> Column:
@@ -35,22 +35,25 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = docs.select(*row, F.explode(_keys(lines, min_chars)).alias("_k")).select("_id", "_th", "_tn", "_k.pos", "_k.h1", "_k.h2")
     per_doc = docs.select(row[0], F.explode(F.array_distinct(F.transform(_keys(lines, min_chars), lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))).alias("_k")).select("_id", "_k.h1", "_k.h2")
     counted = per_doc.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    counted = written(counted)
+    total = counted.agg(F.sum("n_docs")).first()[0] or 0
     places = (
-        found.join(counted.select("h1", "h2", "keeper"), ["h1", "h2"])
+        join_salted(found, counted, ["h1", "h2"], "n_docs", total)
         .where(~F.col("_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("_id").alias("_m_id"), F.col("_th").alias("_m_th"), F.col("_tn").alias("_m_tn"))
         .agg(F.array_sort(F.collect_set("pos")).alias("_drop"))
     )
-    texts = docs.withColumns({"_th": row[1], "_tn": row[2]})
-    on = texts[id_col].eqNullSafe(places["_m_id"]) & texts["_th"].eqNullSafe(places["_m_th"]) & texts["_tn"].eqNullSafe(places["_m_tn"])
-    met = texts.join(places.hint("shuffle_hash"), on, "left").drop("_m_id", "_m_th", "_m_tn", "_th", "_tn")
+    texts = docs.withColumns({"_sluice_th": row[1], "_sluice_tn": row[2]})
+    places = places.withColumnsRenamed({"_m_id": "_sluice_id", "_m_th": "_sluice_mth", "_m_tn": "_sluice_mtn", "_drop": "_sluice_drop"})
+    on = texts[id_col].eqNullSafe(places["_sluice_id"]) & texts["_sluice_th"].eqNullSafe(places["_sluice_mth"]) & texts["_sluice_tn"].eqNullSafe(places["_sluice_mtn"])
+    met = texts.join(places.hint("shuffle_hash"), on, "left").drop("_sluice_id", "_sluice_mth", "_sluice_mtn", "_sluice_th", "_sluice_tn")
     gaps = lambda s: F.transform(  # noqa: E731  the runs of lines between two dropped ones
         F.sequence(F.lit(0), F.size(s["cut"]) - 2),
         lambda j: F.slice(s["lines"], F.get(s["cut"], j) + 2, F.get(s["cut"], j + 1) - F.get(s["cut"], j) - 1),
     )
-    cut = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size(lines)))
-    kept = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(let(F.struct(lines.alias("lines"), cut.alias("cut")), lambda s: F.array_join(F.flatten(gaps(s)), "\n")))
-    return met.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "_kept": kept}).drop("_drop")
+    cut = F.concat(F.array(F.lit(-1)), F.col("_sluice_drop"), F.array(F.size(lines)))
+    kept = F.when(F.col("_sluice_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(let(F.struct(lines.alias("lines"), cut.alias("cut")), lambda s: F.array_join(F.flatten(gaps(s)), "\n")))
+    return met.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce(F.size("_sluice_drop"), F.lit(0)).cast("long"), "_kept": kept}).drop("_sluice_drop")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
