@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
 
 def thresholds(keyed: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per source of keyed (_id, _source, _size, _key, _th): source_size, target, whole epochs, and the last row of the
-    fractional epoch as (cut_key, cut_id, cut_th); null where none is taken.
+    """Per source (_sluice_of) of keyed (_id, _source, _size, _key, _th): its size, target and whole epochs, and the last
+    row of its fractional epoch, _sluice_cut (key, id, hash); null where none is taken.
 
     Sizes are summed per source and key bucket first (one partial row per source, bucket and task, so a hot source
     spreads), prefix sums run over at most BUCKETS rows a source, and only the bucket in which the budget ends is
@@ -67,7 +67,8 @@ def thresholds(keyed: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     run = W.partitionBy("_source").orderBy("_key", "_id", "_th").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = inside.withColumn("_cum", F.sum("_size").over(run) + F.col("_taken")).where(F.col("_cum") - F.col("_size") / 2.0 <= F.col("budget"))
     last = inside.groupBy("_source").agg(F.max(F.struct("_key", "_id", "_th")).alias("_cut")).unionByName(whole.select("_source", F.col("_whole_last").alias("_cut"))).groupBy("_source").agg(F.max("_cut").alias("_cut"))
-    return plan.join(last, plan["source"].eqNullSafe(last["_source"]), "left").select("source", "source_size", "target", "epochs", F.when(F.col("budget") > 0, F.col("_cut")).alias("cut"))
+    met = plan.join(last, plan["source"].eqNullSafe(last["_source"]), "left")
+    return met.select(F.col("source").alias("_sluice_of"), F.col("source_size").alias("_sluice_size"), F.col("target").alias("_sluice_target"), F.col("epochs").alias("_sluice_epochs"), F.when(F.col("budget") > 0, F.col("_cut")).alias("_sluice_cut"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
@@ -75,11 +76,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(text).alias("_size"), sampling_key(F.col(id_col), text, quality_weight(text), seed).alias("_key"), F.xxhash64(text).alias("_th"))
 
 
-def times(row: DataFrame, cut: DataFrame) -> DataFrame:
-    """row (with the columns of keyed) plus source_size, target and _times, how often the mix takes the row."""
-    met = join_small(row, cut, "_source", "source")
-    chosen = F.struct("_key", "_id", "_th") <= F.col("cut")
-    return met.withColumn("_times", (F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long")).cast("long"))
+def times(row: DataFrame, cut: DataFrame, source_col: str, at: Column) -> DataFrame:
+    """row plus the columns of thresholds and _sluice_times, how often the mix takes a row whose (key, id, hash) is at."""
+    met = join_small(row, cut, source_col, "_sluice_of")
+    return met.withColumn("_sluice_times", (F.col("_sluice_epochs") + F.coalesce(at <= F.col("_sluice_cut"), F.lit(False)).cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
@@ -93,12 +93,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     row = written(keyed(docs, id_col, text_col, source_col, seed))
     cut = written(thresholds(row))
-    same = docs.withColumns({c: e for c, e in zip(("_id", "_source", "_size", "_key", "_th"), (F.col(id_col), F.col(source_col), n_words(F.col(text_col)), sampling_key(F.col(id_col), F.col(text_col), quality_weight(F.col(text_col)), seed), F.xxhash64(text_col)), strict=True)})
-    out = times(same, cut).where(F.col("_times") > 0)
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).drop("_copy")
+    text = F.col(text_col)
+    at = F.struct(sampling_key(F.col(id_col), text, quality_weight(text), seed).alias("_key"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"))
+    out = times(docs, cut, source_col, at).where(F.col("_sluice_times") > 0)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_sluice_times"))).alias("_sluice_copy")).drop("_sluice_copy")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
     row = written(keyed(docs))
-    out = times(row, written(thresholds(row)))
-    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_times")).alias("taken"))
+    out = times(row, written(thresholds(row)), "_source", F.struct("_key", "_id", "_th"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_sluice_size").alias("source_size"), F.col("_sluice_target").alias("target"), (F.col("_size") * F.col("_sluice_times")).alias("taken"))
