@@ -6,6 +6,7 @@ streams. Every query reads its whole tables.
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -216,9 +217,20 @@ def _stream(spark, sf_dir, name="events"):
     return reader.parquet(path) if is_dir else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def _removed(spark, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended
+        return
+
+
 def _scratch(spark) -> str:
+    """A folder for a stream's checkpoint and output, in the shared folder; it goes when Python exits."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"sluice-stream-{os.urandom(6).hex()}")
+    path = os.path.join(base, f"sluice-stream-{os.urandom(6).hex()}")
+    atexit.register(_removed, spark, path)
+    return path
 
 
 def stream_tumble(spark, sf_dir):
