@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import written
+from sluice.llm.common import join_salted, mapped, written
 from sluice.llm.components import components
 
 BITS, SEGMENT, RADIUS = 64, 4, 2
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(fps, pa.int64())], names=["_id", "_th", "_fp"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _th bigint, _fp bigint")
+    return mapped(rows, run, f"_id {docs.schema[id_col].dataType.simpleString()}, _th bigint, _fp bigint")
 
 
 def _cells(fp: Column) -> Column:
@@ -60,6 +60,8 @@ def links(fps: DataFrame) -> DataFrame:
     or fewer bits, and no value has more than 65 fingerprints about it. So work grows with the number of
     fingerprints, and a dense group yields stars, not all its pairs.
     """
+    # few bytes a row become many rows: dealt evenly first
+    fps = fps.select("_fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp")
     cells = fps.select("_fp", F.explode(_cells(F.col("_fp"))).alias("_cell"))
     met = cells.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_fp").alias("a"), F.max("_fp").alias("b")).where("n > 1")
     met = written(met)
@@ -80,13 +82,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies meet once, as one fingerprint. All columns but the two named are ignored.
     """
     rows = written(fingerprints(docs, id_col, text_col))
-    fps = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first")))
+    fps = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
     root = components(links(fps))
     root = root.join(fps, root["node"] == fps["_fp"]).select("node", "root", "_first")
     least = root.groupBy("root").agg(F.min("_first").alias("_least"))
     of = root.join(least, "root").select(F.col("node").alias("_fp"), "_least")
-    component = fps.join(of, "_fp", "left").select(F.col("_fp").alias("_at"), F.coalesce("_least", "_first").alias("_component"))
-    return rows.join(component, rows["_fp"] == component["_at"]).select("_id", "_th", "_fp", "_component")
+    component = written(fps.join(of, "_fp", "left").select("_fp", "_n", F.coalesce("_least", "_first").alias("_component")))
+    return join_salted(rows, component, ["_fp"], "_n", rows.count()).select("_id", "_th", "_fp", "_component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,11 +96,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text, of repeated rows any. Rows without an id stay only where the whole component has none."""
     rows = written(near_duplicates(docs, id_col, text_col).withColumn("_c", F.coalesce(F.col("_component").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))))
     keep = rows.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_th")).alias("_k")).select(F.col("_k._id").alias("_kid"), F.col("_k._th").alias("_kth"))
-    texts = docs.withColumn("_th", F.xxhash64(text_col))
-    met = texts.join(keep.hint("shuffle_hash"), texts[id_col].eqNullSafe(keep["_kid"]) & (texts["_th"] == keep["_kth"]))
+    keep = keep.withColumnsRenamed({"_kid": "_sluice_id", "_kth": "_sluice_kept"})
+    texts = docs.withColumn("_sluice_th", F.xxhash64(text_col))
+    met = texts.join(keep.hint("shuffle_hash"), texts[id_col].eqNullSafe(keep["_sluice_id"]) & (texts["_sluice_th"] == keep["_sluice_kept"]))
     if rows.groupBy("_id", "_th").count().where("count > 1").isEmpty():
         return met.select(*docs.columns)
-    return met.dropDuplicates([id_col, "_th"]).select(*docs.columns)
+    return met.dropDuplicates([id_col, "_sluice_th"]).select(*docs.columns)
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
