@@ -86,10 +86,45 @@ def join_small(big: DataFrame, small: DataFrame, big_key: str, small_key: str, s
     return left.join(right, left[big_key].eqNullSafe(right[small_key]) & (left["_salt"] == right["_salt_of"]), "left").drop(right[small_key], "_salt", "_salt_of")
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package sent to the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+def _given_back() -> None:
+    """Returns what this Python worker has freed to the system: workers live on between stages, beside the JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def mapped(df: DataFrame, run, schema: str, size: int = 3 << 20) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package sent to the workers. run gets batches cut to about `size` bytes (a
+    larger row by itself), whatever Spark's own batches are; these are bounded too, unless the session says otherwise."""
+    spark = df.sparkSession
+    ship(spark)
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(most, None) is None:
+        spark.conf.set(most, str(8 << 20))
+
+    def bounded(batches):
+        def parts():
+            for k, b in enumerate(batches):
+                step = max(1, int(size * b.num_rows / max(1, b.nbytes)))
+                for at in range(0, b.num_rows, step):
+                    yield b.slice(at, step)
+                if k % 16 == 15:
+                    _given_back()
+
+        try:
+            yield from run(parts())
+        finally:
+            _given_back()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def join_salted(big: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, share: int = 1000, salts: int = 64) -> DataFrame:

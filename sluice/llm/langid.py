@@ -89,20 +89,20 @@ def mixture(likelihood: np.ndarray, at: np.ndarray) -> np.ndarray:
         return out
     starts, n = at[:-1][some], n[some]
     own = np.repeat(np.arange(len(some)), n)
-    lik = likelihood.astype(np.float64)
+    lik = likelihood.astype(np.float32)
     allowed = np.ones((len(some), lik.shape[1]))
 
     def fit(rounds: int) -> np.ndarray:
         pi = allowed / allowed.sum(1, keepdims=True)
         for _ in range(rounds):
-            r = lik * pi[own]
-            r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-            pi = (np.add.reduceat(r, starts, axis=0) + PRIOR) * allowed
+            r = lik * pi.astype(np.float32)[own]
+            r /= np.maximum(r.sum(1, keepdims=True), np.float32(1e-30))
+            pi = (np.add.reduceat(r, starts, axis=0, dtype=np.float64) + PRIOR) * allowed
             pi /= pi.sum(1, keepdims=True)
         return pi
 
     pi = fit(ROUNDS)
-    parts = lik * pi[own]
+    parts = (lik * pi[own]).astype(np.float64)
     whole = parts.sum(1)
     cost = np.stack([np.add.reduceat(np.log(np.maximum(whole, 1e-300)) - np.log(np.maximum((whole - parts[:, k]) / np.maximum(1 - pi[own, k], 1e-9), 1e-300)), starts) for k in range(lik.shape[1])], 1)
     allowed = (cost > 0.5 * np.log(n)[:, None]).astype(float)
@@ -123,22 +123,20 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
         import pyarrow as pa
 
         langs, logs = table.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                b = batch.slice(lo, 1000)
-                distinct, place, at = split(_lower(b.column("_text")))
-                best, score, has = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
-                if distinct and langs:
-                    bucket, owner = _grams(Runs(distinct))
-                    logp = np.stack([np.bincount(owner, logs[bucket, k], len(distinct)) for k in range(len(langs))], 1)
-                    real = np.bincount(owner, minlength=len(distinct)) > 0
-                    lik = np.exp(logp - logp.max(1, keepdims=True))
-                    keep = real[place]
-                    at = np.concatenate([[0], np.cumsum(keep)])[at]
-                    pi = mixture(lik[place[keep]], at)
-                    best, score, has = pi.argmax(1), pi.max(1), np.diff(at) > 0
-                names = [langs[k] if h else UNKNOWN for k, h in zip(best, has, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_th")), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))], names=["_id", "_th", "_lang_pred", "_score"])
+        for b in batches:
+            distinct, place, at = split(_lower(b.column("_text")))
+            best, score, has = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            if distinct and langs:
+                bucket, owner = _grams(Runs(distinct))
+                logp = np.stack([np.bincount(owner, logs[bucket, k], len(distinct)) for k in range(len(langs))], 1)
+                real = np.bincount(owner, minlength=len(distinct)) > 0
+                lik = np.exp(logp - logp.max(1, keepdims=True)).astype(np.float32)
+                keep = real[place]
+                at = np.concatenate([[0], np.cumsum(keep)])[at]
+                pi = mixture(lik[place[keep]], at)
+                best, score, has = pi.argmax(1), pi.max(1), np.diff(at) > 0
+            names = [langs[k] if h else UNKNOWN for k, h in zip(best, has, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_th")), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))], names=["_id", "_th", "_lang_pred", "_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
@@ -157,8 +155,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def recognised(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows in no language, or with no language of at least the share `least`."""
     found = written(detect(docs, id_col, text_col, lang_col).where((F.col("_lang_pred") == UNKNOWN) | (F.col("_score") < least)).select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct())
-    texts = docs.withColumn("_th", F.xxhash64(text_col))
-    return texts.join(found, texts[id_col].eqNullSafe(found["_gone"]) & (texts["_th"] == found["_gone_th"]), "left_anti").drop("_th")
+    texts = docs.withColumn("_sluice_th", F.xxhash64(text_col))
+    return texts.join(found, texts[id_col].eqNullSafe(found["_gone"]) & (texts["_sluice_th"] == found["_gone_th"]), "left_anti").drop("_sluice_th")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
