@@ -11,11 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.llm.common import mapped, written
-from sluice.llm.words import split
+from sluice.llm.words import split_arrow
 
 WINDOW, END = 4096, 1
 #: Words whose ids a Python worker keeps between batches and tasks.
-CACHED = 500_000
+CACHED = 400_000
 #: Marks that end a word and are a token run of their own after a letter or number.
 TAIL = ".,;:!?"
 
@@ -58,39 +58,51 @@ class Ids:
         return (np.concatenate(flat), np.concatenate(sizes)) if words else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, start, how many) of each word."""
-        missing = {w for w in words if w not in self.at}
-        new = [w for w in missing if w.isalpha()]
-        new += missing.difference(new)
+        """(flat ids, start, how many) of each of the words; one that is there twice is tokenized twice, to no harm."""
+        known, find = len(self.at), self.at.get
+        place = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        if not len(missing):
+            return self.flat, self.start[place], self.n[place]
+        new = [words[i] for i in missing.tolist()]
+        plain = np.fromiter(map(str.isalpha, new), bool, len(new))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])  # letters alone first
+        missing, new = missing[order], [new[i] for i in order.tolist()]
         ids, n = self.encoded(new)
-        start = np.cumsum(n) - n + len(self.flat)
-        flat, starts, sizes = np.concatenate([self.flat, ids]), np.concatenate([self.start, start]), np.concatenate([self.n, n])
-        known = len(self.at)
-        own = dict(zip(new, range(known, known + len(new)), strict=True))
-        place = np.fromiter((self.at[w] if w in self.at else own[w] for w in words), np.int64, len(words))
+        place[missing] = known + np.arange(len(new))
+        flat = np.concatenate([self.flat, ids])
+        starts, sizes = np.concatenate([self.start, np.cumsum(n) - n + len(self.flat)]), np.concatenate([self.n, n])
         if known + len(new) <= CACHED:
-            self.at |= own
+            self.at.update(zip(new, range(known, known + len(new)), strict=True))
             self.flat, self.start, self.n = flat, starts, sizes
         return flat, starts[place], sizes[place]
 
     def batch(self, texts):
         """texts (an Arrow string array) -> ids of all texts end to end, and where each text starts, plus the end."""
-        distinct, place, at = split(texts)
-        k = len(distinct)
-        bases, tails, tail_of = [], {"": k}, []
-        for w in distinct:
-            base = w.rstrip(TAIL)
-            tail = ""
-            if base and base[-1].isalnum():
-                tail = w[len(base) :]
-            else:
-                base = w
-            tail_of.append(tails.setdefault(tail, k + len(tails)))
-            bases.append(base.lower() if base.isascii() and "<|" not in base else base)  # all ASCII is lower-cased anyway
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words, place, at = split_arrow(texts)
+        base = pc.utf8_rtrim(words, TAIL)
+        cut = pc.utf8_is_alnum(pc.utf8_slice_codeunits(base, -1))  # of an empty base: false
+        base = pc.if_else(cut, base, words)
+        lower = pc.and_(pc.string_is_ascii(base), pc.invert(pc.match_substring(base, "<|")))
+        base = pc.if_else(lower, pc.ascii_lower(base), base)  # the tokenizer lower-cases ASCII anyway
+        # the mark at the end: what rtrim took, as a place in a list of the few there are
+        sizes = np.asarray(pc.subtract(pc.binary_length(words), pc.binary_length(base)))
+        at_end = np.flatnonzero(sizes)
+        tails = {"": 0}
+        tail_of = np.zeros(len(words), np.int64)
+        for i, w in zip(at_end.tolist(), words.take(pa.array(at_end)).to_pylist(), strict=True):
+            tail = w[-int(sizes[i]) :]  # marks are one byte each
+            tail_of[i] = tails.setdefault(tail, len(tails))
+        coded = base.dictionary_encode()
+        bases = coded.dictionary.to_pylist()
         flat, start, n = self.look_up(bases + list(tails))
-        order = np.stack([np.arange(k), np.array(tail_of, np.int64)], 1).ravel()  # each base, then its tail
+        own = np.arange(len(bases), len(bases) + len(tails))
+        order = np.stack([np.asarray(coded.indices).astype(np.int64), own[tail_of]], 1).ravel()  # each base, then its tail
         flat, upto = _gather(flat, start[order], n[order])
-        starts, sizes = upto[:-1:2], n[order].reshape(k, 2).sum(1)
+        starts, sizes = upto[:-1:2], n[order].reshape(-1, 2).sum(1)
         out, upto = _gather(flat, starts[place], sizes[place])
         return out, upto[at]
 
@@ -118,27 +130,24 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
         tokens, part, seen = ids_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         names = ["_id", "piece", "start", "length", "crc", "_part", "_nth"] + ["ids"] * with_ids
-        for b in batches:
-            step = 2000  # rows: bounds what is held at once
-            for lo in range(0, b.num_rows, step):
-                rows = b.slice(lo, step)
-                flat, at = tokens.batch(rows.column("_text"))
-                out: list[list] = [[] for _ in names[1:]]
-                take = []
-                for i in range(rows.num_rows):
-                    ids = np.append(flat[at[i] : at[i + 1]], np.uint32(end)).astype("<u4")
-                    for p, s in enumerate(range(0, len(ids), window)):
-                        own = ids[s : s + window]
-                        take.append(i)
-                        for to, v in zip(out, (p, s, len(own), zlib.crc32(own.tobytes()), part, int(seen[len(own)])) + ((own.tolist(),) if with_ids else ()), strict=True):
-                            to.append(v)
-                        seen[len(own)] += 1
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([rows.column("_id").take(pa.array(take, pa.int64()))] + [pa.array(x, k) for x, k in zip(out, kinds, strict=False)], names=names)
+        for rows in batches:
+            flat, at = tokens.batch(rows.column("_text"))
+            out: list[list] = [[] for _ in names[1:]]
+            take = []
+            for i in range(rows.num_rows):
+                ids = np.append(flat[at[i] : at[i + 1]], np.uint32(end)).astype("<u4")
+                for p, s in enumerate(range(0, len(ids), window)):
+                    own = ids[s : s + window]
+                    take.append(i)
+                    for to, v in zip(out, (p, s, len(own), zlib.crc32(own.tobytes()), part, int(seen[len(own)])) + ((own.tolist(),) if with_ids else ()), strict=True):
+                        to.append(v)
+                    seen[len(own)] += 1
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([rows.column("_id").take(pa.array(take, pa.int64()))] + [pa.array(x, k) for x, k in zip(out, kinds, strict=False)], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return mapped(rows, run, f"_id {kind}, piece int, start long, length long, crc long, _part int, _nth long" + ", ids array<long>" * with_ids)
+    return mapped(rows, run, f"_id {kind}, piece int, start long, length long, crc long, _part int, _nth long" + ", ids array<long>" * with_ids, 6 << 20)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:

@@ -15,9 +15,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def split(texts):
-    """texts (an Arrow string array; null as empty) -> distinct words, the place among them of every word, and where
-    each text's words start, plus the end. Words are runs of anything but ASCII white space."""
+def split_arrow(texts):
+    """texts (an Arrow string array; null as empty) -> distinct words as an Arrow array, the place among them of every
+    word, and where each text's words start, plus the end. Words are runs of anything but ASCII white space."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -26,12 +26,18 @@ def split(texts):
     at = at - at[0]
     coded = words.flatten().dictionary_encode()
     place = np.asarray(coded.indices).astype(np.int64)
-    distinct = coded.dictionary.to_pylist()
-    if "" in distinct:  # around leading and trailing white space
-        real = place != distinct.index("")
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if empty >= 0:  # around leading and trailing white space
+        real = place != empty
         at = np.concatenate([[0], np.cumsum(real)])[at]
         place = place[real]
-    return distinct, place, at
+    return coded.dictionary, place, at
+
+
+def split(texts):
+    """As split_arrow, with the distinct words as a list."""
+    distinct, place, at = split_arrow(texts)
+    return distinct.to_pylist(), place, at
 
 
 def hashes(distinct: list[str]) -> np.ndarray:
