@@ -242,6 +242,11 @@ def test_packing(spark):
     assert len(by) <= np.ceil(sum(r["length"] for r in out) / 4096) + 1
 
 
+def test_packing_of_no_words(spark):
+    out = packing.query(spark, docs(spark, [(1, None, None, None, None), (2, " ", None, None, 1), (3, "...", None, None, 3), (4, "a...", None, None, 4)])).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in out) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+
+
 def test_packed_sequences_hold_the_ids(spark):
     packed = packing.pack_documents(docs(spark, rows()[:10]), with_ids=True)
     seqs = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
