@@ -22,4 +22,4 @@ QUERIES = {
     "op9_html_text": _over(html_extract, "pages"),
     "op10_bitsliced_topk": _over(bitsliced, "embeddings"),
 }
-ORACLES = {"op4_line_dedup": lines.ORACLE, "op10_bitsliced_topk": bitsliced.ORACLE}
+ORACLES = {"op3_substring_dedup": substrings.ORACLE, "op4_line_dedup": lines.ORACLE, "op10_bitsliced_topk": bitsliced.ORACLE}

@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import dropped, written
+from sluice.llm.common import dropped, join_salted, mapped, written
 from sluice.llm.words import ODD, hashes, mixed, split
 
 #: Words of a window; rounds of naming; words that a symbol may span; words on either side that go into an anchor's name.
 WINDOW, ROUNDS, SPAN, AROUND = 35, 2, 8, 6
 #: Words that are worked on at a time: what a text of any length takes in memory.
 STEP = 1 << 18
+#: A name with more than one HOTth of all anchors is dealt over many partitions; so there are at most HOT of these.
+HOT = 1000
 BASES = (np.uint64(0xD1342543DE82EF95), np.uint64(0xAF251AF3B0F025B5))
 
 
@@ -124,11 +126,6 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
 
 
-def _parts(batch, rows: int = 1000):
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(_id, _th, _starts): per row of docs (by id and hash of text), the first words of all windows that start elsewhere too."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -137,41 +134,54 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     def name_all(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for b in _parts(batch):
-                for row, _, where, name, _ in _windows(b, window):
-                    new = np.concatenate([[True], (row[1:] != row[:-1]) | (where[1:] != where[:-1])]) if len(row) else np.zeros(0, bool)
-                    _, one = np.unique(row[new] * (1 << 40) + where[new] + (1 << 39), return_index=True)
-                    pick = np.flatnonzero(new)[one]
-                    take = pa.array(row[pick])
-                    yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_th").take(take), pa.array(where[pick]), pa.array(name[pick].view(np.int64))], names=["_id", "_th", "_where", "_name"])
-
-    named = written(rows.mapInArrow(name_all, f"_id {kind}, _th bigint, _where bigint, _name bigint"))
-    shared = named.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_name")
-    likely = written(named.join(shared, "_name").groupBy("_id", "_th").agg(F.collect_set("_where").alias("_wheres")))
+        for b in batches:
+            for row, _, where, name, _ in _windows(b, window):
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (where[1:] != where[:-1])]) if len(row) else np.zeros(0, bool)
+                _, one = np.unique(row[new] * (1 << 40) + where[new] + (1 << 39), return_index=True)
+                pick = np.flatnonzero(new)[one]
+                take = pa.array(row[pick])
+                yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_th").take(take), pa.array(where[pick]), pa.array(name[pick].view(np.int64))], names=["_id", "_th", "_where", "_name"])
+
+    named = written(mapped(rows, name_all, f"_id {kind}, _th bigint, _where bigint, _name bigint"))
+    total = named.count()
+    shared = written(named.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    hot = (F.col("_n") * HOT > total).alias("hot")  # a name that is so frequent has frequent windows
+    likely = join_salted(named, shared, ["_name"], "_n", total, HOT).groupBy("_id", "_th").agg(F.collect_set(F.struct("_where", hot)).alias("_wheres"))
+    likely = written(likely)
     dropped(named)
+    dropped(shared)
 
     def open_up(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for b in _parts(batch):
-                wheres = b.column("_wheres")
-                owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(wheres.offsets)))
-                wanted = np.sort(owner * (1 << 40) + np.asarray(wheres.flatten()) + (1 << 39))
-                for row, p, where, _, spans in _windows(b, window):
-                    key = row * (1 << 40) + where + (1 << 39)
-                    found = np.searchsorted(wanted, key)
-                    keep = np.flatnonzero(wanted[np.minimum(found, len(wanted) - 1)] == key)
-                    take = pa.array(row[keep])
-                    yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_th").take(take), pa.array(p[keep].astype(np.int32)), *map(pa.array, spans(keep))], names=["_id", "_th", "_start", "_h1", "_h2"])
+        for b in batches:
+            wheres = b.column("_wheres")
+            owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(wheres.offsets)))
+            flat = wheres.flatten()
+            wanted = owner * (1 << 40) + np.asarray(flat.field(0)) + (1 << 39)
+            order = np.argsort(wanted)
+            wanted, often = wanted[order], np.asarray(flat.field(1).cast(pa.int32()))[order]
+            for row, p, where, _, spans in _windows(b, window):
+                key = row * (1 << 40) + where + (1 << 39)
+                found = np.searchsorted(wanted, key)
+                found = np.minimum(found, len(wanted) - 1)
+                keep = np.flatnonzero(wanted[found] == key)
+                take = pa.array(row[keep])
+                h1, h2 = spans(keep)  # the last bit of h2 says that the anchor's name is hot
+                yield pa.RecordBatch.from_arrays([b.column("_id").take(take), b.column("_th").take(take), pa.array(p[keep].astype(np.int32)), pa.array(h1), pa.array(h2 & ~1 | often[found[keep]])], names=["_id", "_th", "_start", "_h1", "_h2"])
 
     on = rows["_id"].eqNullSafe(likely["_id"]) & rows["_th"].eqNullSafe(likely["_th"])
     opened = rows.join(likely.hint("shuffle_hash"), on).select(rows["_id"], rows["_th"], "_text", "_wheres")
-    opened = written(opened.mapInArrow(open_up, f"_id {kind}, _th bigint, _start int, _h1 bigint, _h2 int"))
+    opened = written(mapped(opened, open_up, f"_id {kind}, _th bigint, _start int, _h1 bigint, _h2 int"))
     dropped(likely)
-    twice = opened.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h1", "_h2")
-    out = written(opened.join(twice, ["_h1", "_h2"]).groupBy("_id", "_th").agg(F.collect_set("_start").alias("_starts")))
+    twice = opened.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # equal windows have one anchor's name, so they agree on being hot; a salt within h2 deals hot ones over 64 partitions
+    hot, h2 = F.col("_h2").bitwiseAND(F.lit(1)) == 1, F.col("_h2")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(126), F.lit(2))).otherwise(F.array(F.lit(0)))
+    twice = twice.select("_h1", h2, F.explode(salts).alias("_salt")).select("_h1", h2.bitwiseXOR(F.col("_salt")).alias("_h2"))
+    salt = F.when(hot, (F.pmod(F.xxhash64("_id", "_start"), F.lit(64)) * 2).cast("int")).otherwise(F.lit(0))
+    met = opened.select("_id", "_th", "_start", "_h1", h2.bitwiseXOR(salt).alias("_h2")).join(twice, ["_h1", "_h2"])
+    out = written(met.groupBy("_id", "_th").agg(F.collect_set("_start").alias("_starts")))
     dropped(opened)
     return out
 
@@ -185,7 +195,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Shuffled are: a name per anchor (one in some 12 words), then the texts that share a name, then two hashes for
     each of their windows that has a shared anchor, then the texts again, to lose their words. Windows are equal just
-    if both hashes are, 96 bits in all.
+    if both hashes are, 95 bits in all.
     """
     found = repeats(docs, id_col, text_col, window)
     rows = _rows(docs, id_col, text_col)
@@ -195,27 +205,40 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for b in _parts(batch):
-                out: list[list] = [[], [], []]
-                for text, starts in zip(b.column("_text").cast(pa.binary()).to_pylist(), b.column("_starts"), strict=True):
-                    words = (text or b"").split()
-                    n, gone = len(words), 0
-                    if starts.is_valid:
-                        edge = np.zeros(n + 1, np.int64)
-                        s = np.asarray(starts.values)
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + window, -1)
-                        keep = np.cumsum(edge[:-1]) == 0
-                        gone = n - int(keep.sum())
-                        words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                    for to, v in zip(out, (n, gone, b" ".join(words)), strict=True):
-                        to.append(v)
-                yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
+        for b in batches:
+            out: list[list] = [[], [], []]
+            for text, starts in zip(b.column("_text").cast(pa.binary()).to_pylist(), b.column("_starts"), strict=True):
+                words = (text or b"").split()
+                n, gone = len(words), 0
+                if starts.is_valid:
+                    edge = np.zeros(n + 1, np.int64)
+                    s = np.asarray(starts.values)
+                    np.add.at(edge, s, 1)
+                    np.add.at(edge, s + window, -1)
+                    keep = np.cumsum(edge[:-1]) == 0
+                    gone = n - int(keep.sum())
+                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                for to, v in zip(out, (n, gone, b" ".join(words)), strict=True):
+                    to.append(v)
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return met.mapInArrow(cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")
+    return mapped(met, cut, f"`{id_col}` {kind}, n_words long, n_removed long, kept string")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
     return drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM p),
+r AS (SELECT g FROM k GROUP BY g HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS pos FROM k JOIN r USING (g)),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+m AS (SELECT t.doc_id, count(*) AS n_words, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY t.pos) FILTER (c.pos IS NULL) AS kept
+      FROM t LEFT JOIN c ON t.doc_id = c.doc_id AND t.pos = c.pos GROUP BY t.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN m ON w.doc_id = m.doc_id
+"""
