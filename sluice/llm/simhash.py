@@ -81,9 +81,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component with no other id has null. Repeated rows stay, in one component. An empty table gives an empty table.
     Copies meet once, as one fingerprint. All columns but the two named are ignored.
     """
-    rows = written(fingerprints(docs, id_col, text_col))
+    return grouped(written(fingerprints(docs, id_col, text_col)), links)
+
+
+def grouped(rows: DataFrame, link) -> DataFrame:
+    """rows (a written table of _id, _th, _fp) plus `_component` by the pairs (a, b) of `_fp` that link(fps) gives."""
     fps = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
-    root = components(links(fps))
+    root = components(link(fps))
     root = root.join(fps, root["node"] == fps["_fp"]).select("node", "root", "_first")
     least = root.groupBy("root").agg(F.min("_first").alias("_least"))
     of = root.join(least, "root").select(F.col("node").alias("_fp"), "_least")
@@ -91,10 +95,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_salted(rows, component, ["_fp"], "_n", rows.count()).select("_id", "_th", "_fp", "_component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, of these that with the smallest hash of its
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """docs with one row of each component, of near_duplicates or as `found` says: that with the smallest id, of these that with the smallest hash of its
     text, of repeated rows any. Rows without an id stay only where the whole component has none."""
-    rows = written(near_duplicates(docs, id_col, text_col).withColumn("_c", F.coalesce(F.col("_component").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))))
+    rows = near_duplicates(docs, id_col, text_col) if found is None else found
+    rows = written(rows.withColumn("_c", F.coalesce(F.col("_component").cast("string"), F.concat(F.lit("fp"), F.col("_fp").cast("string")))))
     keep = rows.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_th")).alias("_k")).select(F.col("_k._id").alias("_kid"), F.col("_k._th").alias("_kth"))
     keep = keep.withColumnsRenamed({"_kid": "_sluice_id", "_kth": "_sluice_kept"})
     texts = docs.withColumn("_sluice_th", F.xxhash64(text_col))
