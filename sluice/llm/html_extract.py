@@ -17,6 +17,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements that hold one block of their neighbours' content.
+SINGLE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsbygoogle|adbox|adslot|adunit|leaderboard|outbrain|taboola|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|search|tags?|copyright|skip|hidden|sr-only)(?:$|[\s_-]|\d)",
@@ -130,8 +132,9 @@ def main_text(html: str | None) -> str:
     name, role, class or id, stand aside. For the rest, text length and punctuation are summed per root-to-leaf tag
     path and divided by the path's blocks; both ratios are smoothed over the blocks in page order, fused by product,
     and a block's path is content where the fused ratio reaches a fifth of its mean weighted by text. The content is what stands
-    in the innermost element that holds nearly all selected text, in an article or main element if it is in one; so
-    short paragraphs and headings of the article stay.
+    in the innermost element that holds all selected text, in an article or main element if it is in one; so short
+    paragraphs and headings of the article stay. Where selected text stands in several articles, or beside one, each such
+    article is content, and so is the text selected beside them, with all its element holds if no article is in that.
     """
     found = [b for b in blocks(html or "") if not b[0].aside]
     if not found:
@@ -151,34 +154,35 @@ def main_text(html: str | None) -> str:
     fused = [a * b for a, b in smooth]
     lengths = [max(0, len(t) - link) for _, t, link in found]
     level = 0.2 * sum(f * n for f, n in zip(fused, lengths, strict=True)) / max(1, sum(lengths))
-    chosen = [i for i, f in enumerate(fused) if f >= level and lengths[i] > 0]
+    chosen = [i for i, f in enumerate(fused) if f >= level and 2 * lengths[i] > len(found[i][1])]  # links alone select nothing
     if not chosen:
         return ""
-    inside: dict[Node, int] = defaultdict(int)
-    for i in chosen:
-        node = found[i][0]
+    def up(node):
         while node is not None:
-            inside[node] += lengths[i]
+            yield node
             node = node.parent
-    every = sum(lengths[i] for i in chosen)
-    depth = lambda node: node.path.count("/")
-    holders = [node for node, n in inside.items() if n >= 0.9 * every and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td")]
-    holder = max(holders, key=depth)
-    wrap = holder
-    while wrap is not None and wrap.tag not in ("article", "main"):
-        wrap = wrap.parent
-    if wrap is None:
-        own = sorted((node for node, n in inside.items() if node.tag in ("article", "main") and 2 * n >= every), key=depth)
-        wrap = own[-1] if own else holder
-
-    def within(node) -> bool:
-        while node is not None:
-            if node is wrap:
-                return True
-            node = node.parent
-        return False
 
-    return " ".join(t for node, t, _ in found if within(node))
+    def holder(of: list[Node]) -> Node:
+        """The innermost element that holds all of them and can hold several blocks."""
+        common = list(up(of[0]))
+        for node in dict.fromkeys(of[1:]):
+            own = set(up(node))
+            common = [n for n in common if n in own]
+        return next(n for n in common if n.tag not in SINGLE)
+
+    picked = [found[i][0] for i in chosen]
+    whole = holder(picked)
+    wrap = next((n for n in up(whole) if n.tag in ("article", "main")), None)
+    if wrap is not None:
+        wraps, alone = {wrap}, set()
+    else:  # the outermost of several articles, and what was chosen beside them
+        own = {node: [n for n in up(node) if n.tag in ("article", "main")] for node in dict.fromkeys(picked)}
+        wraps, beside = {ns[-1] for ns in own.values() if ns}, [node for node, ns in own.items() if not ns]
+        rest = holder(beside) if beside else None
+        if rest is not None and not any(rest in up(n) for n in wraps):
+            wraps.add(rest)
+        alone = {i for i in chosen if found[i][0] in beside}
+    return " ".join(t for i, (node, t, _) in enumerate(found) if i in alone or any(n in wraps for n in up(node)))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -134,6 +134,22 @@ def test_main_text_of_templates(html, text):
     assert html_extract.main_text(html) == text
 
 
+LONG = "Long text, which goes on, and on; and more of it."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div><section><p>{' '.join([LONG] * 19)}</p></section><section><p>{LONG}</p></section></div></body>", " ".join([LONG] * 20)),
+        (f"<div class=post><h1>A title, of words.</h1><div class=entry>{f'<p>{LONG}</p>' * 20}</div></div>", " ".join(["A title, of words.", *[LONG] * 20])),
+        (f"<body><article><p>{LONG} {LONG}</p></article><article><p>{LONG}</p></article></body>", " ".join([LONG] * 3)),
+        (f"<body><p>{LONG}</p><article><h2>A</h2><p>{LONG}</p></article><div><a>Terms</a></div></body>", f"{LONG} A {LONG}"),
+    ],
+)
+def test_all_selected_text_stays(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def brute_top(own, k=5):
     vecs = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in own if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
