@@ -21,32 +21,62 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SINGLE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsbygoogle|adbox|adslot|adunit|leaderboard|outbrain|taboola|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|widget|pagination|pager|login|search|tags?|copyright|skip|hidden|sr-only)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsbygoogle|adbox|adslot|adunit|leaderboard|outbrain|taboola|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|pagination|pager|login|search|copyright|skip|hidden|sr-only)(?:$|[\s_-]|\d)",
     re.I,
 )
 
+#: Names that count as whole class names only, and modifiers or headings of content that tell of no aside.
+EXACT = {"widget", "widgets", "widget-area", "tag", "tags", "tag-list", "tag-links", "tag-cloud", "post-tags", "entry-tags"}
+MODIFIER = re.compile(r"(?:has|no|with|without|tag|category)[_-].*|(?:entry|post|article)[_-]+header", re.I)
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 MARKS = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class Node:
-    __slots__ = ("aside", "parent", "path", "tag")
+    __slots__ = ("aside", "named", "parent", "path", "tag")
 
-    def __init__(self, tag, parent, path, aside):
-        self.tag, self.parent, self.path, self.aside = tag, parent, path, aside
+    def __init__(self, tag, parent, path, aside, named=False):
+        self.tag, self.parent, self.path, self.aside, self.named = tag, parent, path, aside, named
 
 
-def _is_aside(tag: str, attrs: str) -> bool:
+def _is_aside(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element stands aside by its tag, role or being hidden, and whether by the names in its class and id."""
     if tag in ASIDE:
-        return True
+        return True, False
     if not attrs.strip() or tag in ("html", "body", "main"):
-        return False
+        return False, False
     a = {k.lower(): x or y or z for k, x, y, z in ATTR.findall(attrs)}
     if re.search(r"(?:^|\s)hidden(?:$|[\s=/])", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)) or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
-    named = [re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a.get(k, "")) for k in ("class", "id")]  # sideBar as side-bar
-    return a.get("role", "").lower() in ROLES or any(map(NAMES.search, named))
+        return True, False
+    if a.get("role", "").lower() in ROLES:
+        return True, False
+    named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower().split()  # sideBar as side-bar
+    return False, tag != "article" and any(n in EXACT or (NAMES.search(n) and not MODIFIER.fullmatch(n)) for n in named)
+
+
+def _beside(found) -> set[Node]:
+    """Elements that stand aside by their names: not those that hold most text of the page, unless an article or main
+    element has text outside them."""
+    inside, own, every = defaultdict(int), set(), 0
+    articles: dict[Node, int] = defaultdict(int)  # text in articles or main elements below or about a named element
+    total = 0
+    for node, text, link in found:
+        n = max(0, len(text) - link)
+        every += n
+        about, in_article = [], False
+        while node is not None:
+            if node.named:
+                about.append(node)
+            in_article = in_article or node.tag in ("article", "main")
+            node = node.parent
+        own.update(about)
+        total += n * in_article
+        for node in about:
+            inside[node] += n
+            articles[node] += n * in_article
+    return {node for node in own if 2 * inside[node] <= every or articles[node] < total}
 
 
 def blocks(html: str):
@@ -104,9 +134,9 @@ def blocks(html: str):
                 if stack[-1].tag == tag:
                     flush()
                     stack.pop()
-            elif m[3] and _is_aside(tag, m[3]):
+            elif m[3] and any(is_aside := _is_aside(tag, m[3])):
                 flush()
-                stack.append(Node(tag, stack[-1], f"{stack[-1].path}/{tag}", True))
+                stack.append(Node(tag, stack[-1], f"{stack[-1].path}/{tag}", stack[-1].aside or is_aside[0], is_aside[1]))
             continue
         flush()
         if m[1]:
@@ -117,10 +147,11 @@ def blocks(html: str):
                     break
             continue
         closes = CLOSES.get(tag, set())
-        while len(stack) > 1 and (stack[-1].tag in closes or stack[-1].tag == "p" or (stack[-1].tag in INLINE and not stack[-1].aside)):
+        while len(stack) > 1 and (stack[-1].tag in closes or stack[-1].tag == "p" or (stack[-1].tag in INLINE and not stack[-1].aside and not stack[-1].named)):
             stack.pop()
         up = stack[-1]
-        stack.append(Node(tag, up, f"{up.path}/{tag}", up.aside or _is_aside(tag, m[3])))
+        is_aside, named = _is_aside(tag, m[3])
+        stack.append(Node(tag, up, f"{up.path}/{tag}", up.aside or is_aside, named))
     flush()
     return out
 
@@ -129,14 +160,22 @@ def main_text(html: str | None) -> str:
     """The blocks of the page's main content, joined by one space.
 
     Blocks in elements that hold menus, headers, footers, sidebars, notices, adverts, forms or comments, by element
-    name, role, class or id, stand aside. For the rest, text length and punctuation are summed per root-to-leaf tag
+    name, role, class or id, stand aside; an element with most of the page's text not by its class or id. For the rest, text length and punctuation are summed per root-to-leaf tag
     path and divided by the path's blocks; both ratios are smoothed over the blocks in page order, fused by product,
     and a block's path is content where the fused ratio reaches a fifth of its mean weighted by text. The content is what stands
     in the innermost element that holds all selected text, in an article or main element if it is in one; so short
     paragraphs and headings of the article stay. Where selected text stands in several articles, or beside one, each such
     article is content, and so is the text selected beside them, with all its element holds if no article is in that.
     """
+
+    def up(node):
+        while node is not None:
+            yield node
+            node = node.parent
+
     found = [b for b in blocks(html or "") if not b[0].aside]
+    if beside := _beside(found):
+        found = [b for b in found if beside.isdisjoint(up(b[0]))]
     if not found:
         return ""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
@@ -157,11 +196,6 @@ def main_text(html: str | None) -> str:
     chosen = [i for i, f in enumerate(fused) if f >= level and 2 * lengths[i] > len(found[i][1])]  # links alone select nothing
     if not chosen:
         return ""
-    def up(node):
-        while node is not None:
-            yield node
-            node = node.parent
-
     def holder(of: list[Node]) -> Node:
         """The innermost element that holds all of them and can hold several blocks."""
         common = list(up(of[0]))

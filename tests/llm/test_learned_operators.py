@@ -150,6 +150,25 @@ def test_all_selected_text_stays(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body><article class="post hentry category-news tag-economy"><p>{LONG}</p></article></body>',
+        f'<body><div class="site no-sidebar"><div class="content has-sidebar"><p>{LONG}</p></div></div></body>',
+        f'<body><div class="elementor-widget"><p>{LONG}</p></div><div class="widget"><p>Popular, stuff.</p></div></body>',
+        f'<body><div id="page-overlay"><p>{LONG}</p><div class="related-posts"><p>See it, too.</p></div></div></body>',
+        f'<body><div class="widget"><p>{LONG} {LONG} {LONG}</p></div><article class="sponsored"><p>{LONG}</p></article></body>',
+    ],
+)
+def test_names_do_not_lose_the_main_text(html):
+    assert html_extract.main_text(html) == LONG
+
+
+def test_headings_of_content_stay():
+    html = f'<article><div class="entry-header"><h1>A title, of words.</h1></div><div class="entry"><p>{LONG}</p></div></article>'
+    assert html_extract.main_text(html) == f"A title, of words. {LONG}"
+
+
 def brute_top(own, k=5):
     vecs = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in own if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
