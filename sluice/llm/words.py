@@ -46,11 +46,15 @@ def hashes(distinct: list[str]) -> np.ndarray:
     return np.fromiter((xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
 
 
-def _letters() -> np.ndarray:
-    """Of every code point of the first plane, whether it is a letter or a mark on one."""
+def _is_letter(code: int) -> bool:
+    """Whether a code point is a letter or a mark on one."""
     import unicodedata
 
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x10000)])
+    return unicodedata.category(chr(code))[0] in "LM"
+
+
+def _letters() -> np.ndarray:
+    return np.array([_is_letter(c) for c in range(0x10000)])  # the first plane
 
 
 class Runs:
@@ -64,7 +68,10 @@ class Runs:
         joined = "\n".join([*distinct, ""])
         self.codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         plain = np.minimum(self.codes, 0xFFFF).astype(np.int64)
-        letter = np.where(self.codes > 0xFFFF, True, Runs.letters[plain])
+        letter = Runs.letters[plain]
+        if len(far := np.flatnonzero(self.codes > 0xFFFF)):
+            points, back = np.unique(self.codes[far], return_inverse=True)
+            letter[far] = np.array([_is_letter(int(c)) for c in points])[back]
         edge = np.diff(np.concatenate([[0], letter.astype(np.int8), [0]]))
         self.start = np.flatnonzero(edge == 1)
         self.size = np.flatnonzero(edge == -1) - self.start

@@ -45,6 +45,14 @@ def test_language_without_labels_or_rows(spark):
     assert out.count() == 62 and out.where("doc_id = 4").count() == 2
 
 
+def test_symbols_of_other_planes_are_no_letters(spark):
+    own, _ = two_languages(60)
+    own += [(900, "😀 😀🎉 🚀", None, None, 0), (901, "𝒜 𠀀𠀁", None, None, 0)]
+    got = {r["doc_id"]: r for r in langid.query(spark, docs(spark, own)).collect()}
+    assert got[900]["lang_pred"] == "und" and got[900]["score"] == 0
+    assert got[901]["lang_pred"] != "und"
+
+
 def test_proportions_of_a_mixture():
     lik = np.array([[1.0, 0.01, 0.02]] * 60 + [[0.02, 1.0, 0.01]] * 40 + [[0.1, 0.1, 1.0]])
     pi = langid.mixture(lik, np.array([0, 100, 100, 101]))
