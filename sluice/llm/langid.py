@@ -113,38 +113,50 @@ def mixture(likelihood: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def levels(logs: np.ndarray) -> np.ndarray:
+    """Per language the mean log likelihood of a trigram from which a word fits it: half way between what the language's
+    own trigrams have by expectation and what a uniform background gives any."""
+    return ((np.exp(logs) * logs).sum(0) - np.log(BUCKETS)) / 2
+
+
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' id and text columns plus `_lang_pred`, the language with the largest proportion in the whole text, and
-    `_score`, that proportion, drawn towards equal shares where there are few words. A text that is null or has no
-    letter is `und` with score 0; so is every text if no language was learned."""
+    `_score`, that proportion, drawn towards equal shares where there are few words, and `_fits`, the share of its
+    letters in words that fit any language by levels(). A text that is null or has no letter is `und` with score 0; so
+    is every text if no language was learned."""
     table = docs.sparkSession.sparkContext.broadcast((langs, logs.astype(np.float32)))  # languages x BUCKETS numbers
 
     def run(batches):
         import pyarrow as pa
 
         langs, logs = table.value
+        level = levels(logs.astype(np.float64)) if langs else None
         for b in batches:
             distinct, place, at = split(_lower(b.column("_text")))
-            best, score, has = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool)
+            best, score, has, fits = np.zeros(b.num_rows, int), np.zeros(b.num_rows), np.zeros(b.num_rows, bool), np.zeros(b.num_rows)
             if distinct and langs:
                 bucket, owner = _grams(Runs(distinct))
                 logp = np.stack([np.bincount(owner, logs[bucket, k], len(distinct)) for k in range(len(langs))], 1)
-                real = np.bincount(owner, minlength=len(distinct)) > 0
+                n = np.bincount(owner, minlength=len(distinct))
+                real = n > 0
+                text = np.repeat(np.arange(b.num_rows), np.diff(at))
+                fit = np.bincount(text, ((logp >= n[:, None] * level).any(1) * n)[place], b.num_rows)
+                fits = fit / np.maximum(1, np.bincount(text, n[place], b.num_rows))
                 lik = np.exp(logp - logp.max(1, keepdims=True)).astype(np.float32)
                 keep = real[place]
                 at = np.concatenate([[0], np.cumsum(keep)])[at]
                 pi = mixture(lik[place[keep]], at)
                 best, score, has = pi.argmax(1), pi.max(1), np.diff(at) > 0
             names = [langs[k] if h else UNKNOWN for k, h in zip(best, has, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_th")), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0))], names=["_id", "_th", "_lang_pred", "_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_id", "_th")), pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(fits)], names=["_id", "_th", "_lang_pred", "_score", "_fits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    return mapped(rows, run, f"_id {kind}, _th bigint, _lang_pred string, _score double")
+    return mapped(rows, run, f"_id {kind}, _th bigint, _lang_pred string, _score double, _fits double")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(_id, _th, _lang_pred, _score) of every row of docs, learned from those with a language that are not held out.
+    """(_id, _th, _lang_pred, _score, _fits) of every row of docs, learned from those with a language that are not held out.
 
     Held out are ids whose CRC32 as text is divisible by 5, and rows without an id. Repeated rows stay. An empty
     table gives an empty table. Columns beyond the three named are ignored.
@@ -153,8 +165,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def recognised(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows in no language, or with no language of at least the share `least`."""
-    found = written(detect(docs, id_col, text_col, lang_col).where((F.col("_lang_pred") == UNKNOWN) | (F.col("_score") < least)).select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct())
+    """docs without the rows in no language, with no language of at least the share `least`, or with less than that share
+    of letters in words that fit a learned language."""
+    found = written(detect(docs, id_col, text_col, lang_col).where((F.col("_lang_pred") == UNKNOWN) | (F.col("_score") < least) | (F.col("_fits") < least)).select(F.col("_id").alias("_gone"), F.col("_th").alias("_gone_th")).distinct())
     texts = docs.withColumn("_sluice_th", F.xxhash64(text_col))
     return texts.join(found, texts[id_col].eqNullSafe(found["_gone"]) & (texts["_sluice_th"] == found["_gone_th"]), "left_anti").drop("_sluice_th")
 

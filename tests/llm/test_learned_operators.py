@@ -53,6 +53,15 @@ def test_symbols_of_other_planes_are_no_letters(spark):
     assert got[901]["lang_pred"] != "und"
 
 
+def test_texts_in_no_learned_language_go(spark):
+    own, _ = two_languages()
+    foreign = ["Москва является столицей России и крупнейшим городом страны", "Warszawa jest stolicą Polski, w którym mieszka ponad milion ludzi", "北京是中华人民共和国的首都 是全国的政治中心", "xkcdq vbnmz qwrtp zxcvb ghjkl", "😀 🎉"]
+    half = own[1][1] * 3 + " xkcdq vbnmz qwrtp"
+    own += [(900 + k, t, None, None, 0) for k, t in enumerate([*foreign, half])]
+    kept = {r["doc_id"] for r in langid.recognised(docs(spark, own)).collect()}
+    assert kept == {r[0] for r in own} - {900, 901, 902, 903, 904}
+
+
 def test_proportions_of_a_mixture():
     lik = np.array([[1.0, 0.01, 0.02]] * 60 + [[0.02, 1.0, 0.01]] * 40 + [[0.1, 0.1, 1.0]])
     pi = langid.mixture(lik, np.array([0, 100, 100, 101]))
