@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from sluice.shipping import ship
 
 #: The white space that separates words, and a word, as Java patterns.
 SPACE = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD_AND_SPACE = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,13 +22,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+#: Paths of the tables from written() that are still there, in the order they were made.
+_MADE: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder in spark.checkpoint.dir. Where that is unset, a local one if all of Spark runs in this process, as in
+    tests; else an error, as executors would write where others can't read."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="sluice-")
+    return _LOCAL[sc.applicationId]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -38,8 +48,15 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in _MADE.items():
+        remove(spark, path)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: written to the shared folder as Parquet and read back. The files go when Python exits."""
+    """df cut from its lineage: written to the shared folder as Parquet and read back. The files go with dropped(), with
+    the kept() around it, or when Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -49,7 +66,7 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before) if before is not None else spark.conf.unset(cleanup)
-    atexit.register(remove, spark, path)
+    _MADE[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out.sluice_path = path
     return out
@@ -59,6 +76,16 @@ def dropped(df: DataFrame) -> None:
     """Deletes the files of a table from written() that nothing will read again."""
     if path := getattr(df, "sluice_path", None):
         remove(df.sparkSession, path)
+        _MADE.pop(path, None)
+
+
+def kept(make: Callable[[], DataFrame]) -> DataFrame:
+    """written(make()), without the tables that were written on the way."""
+    before = set(_MADE)
+    out = written(make())
+    for path in [p for p in _MADE if p not in before and p != out.sluice_path]:
+        remove(_MADE.pop(path), path)
+    return out
 
 
 def let(value: Column, then) -> Column:
@@ -72,7 +99,8 @@ def ascii_lower(c: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """How many words a text has: each is replaced, with the white space after it, by one byte, and no list is made."""
+    return F.coalesce(F.octet_length(F.regexp_replace(F.btrim(text, F.lit(SPACE)), WORD_AND_SPACE, "x")), F.lit(0)).cast("long")
 
 
 def join_small(big: DataFrame, small: DataFrame, big_key: str, small_key: str, salts: int = 64, most: int = 100_000) -> DataFrame:

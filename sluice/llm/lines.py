@@ -19,26 +19,28 @@ def _keys(lines: Column, min_chars: int) -> Column:
     return F.filter(keyed, lambda s: s["n"] >= min_chars)
 
 
-def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs plus `_n_lines`, `_n_dropped` and `_kept`, the text without the lines whose key has at least min_chars code
+def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, found: str = "_found") -> DataFrame:
+    """docs plus a struct `found` of `n_lines`, `n_dropped` and `kept`, the text without the lines whose key has at least min_chars code
     points and is in at least min_docs documents; the document with the largest id that holds a key keeps its lines.
 
     A null or empty text is one empty line. A null id counts as below every other. Rows alike in id are one
     document when documents are counted; rows alike in id and text get the same result, and each stays. An empty
-    table gives an empty table. Other columns pass through untouched.
+    table gives an empty table. Other columns pass through untouched; one that is called as `found` says is an error.
 
     Only hashes are shuffled for counting, dealt by (key, id) first, so that a line in every document spreads, then
     counted per key with partial sums. One more shuffle moves the texts, to meet the places to drop.
     """
+    if found in docs.columns:
+        raise ValueError(f"there is a column {found} already")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     row = [F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.octet_length(F.col(text_col)).alias("_tn")]
-    found = docs.select(*row, F.explode(_keys(lines, min_chars)).alias("_k")).select("_id", "_th", "_tn", "_k.pos", "_k.h1", "_k.h2")
+    own = docs.select(*row, F.explode(_keys(lines, min_chars)).alias("_k")).select("_id", "_th", "_tn", "_k.pos", "_k.h1", "_k.h2")
     per_doc = docs.select(row[0], F.explode(F.array_distinct(F.transform(_keys(lines, min_chars), lambda s: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"))))).alias("_k")).select("_id", "_k.h1", "_k.h2")
     counted = per_doc.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     counted = written(counted)
     total = counted.agg(F.sum("n_docs")).first()[0] or 0
     places = (
-        join_salted(found, counted, ["h1", "h2"], "n_docs", total)
+        join_salted(own, counted, ["h1", "h2"], "n_docs", total)
         .where(~F.col("_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("_id").alias("_m_id"), F.col("_th").alias("_m_th"), F.col("_tn").alias("_m_tn"))
         .agg(F.array_sort(F.collect_set("pos")).alias("_drop"))
@@ -46,19 +48,19 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.withColumns({"_sluice_th": row[1], "_sluice_tn": row[2]})
     places = places.withColumnsRenamed({"_m_id": "_sluice_id", "_m_th": "_sluice_mth", "_m_tn": "_sluice_mtn", "_drop": "_sluice_drop"})
     on = texts[id_col].eqNullSafe(places["_sluice_id"]) & texts["_sluice_th"].eqNullSafe(places["_sluice_mth"]) & texts["_sluice_tn"].eqNullSafe(places["_sluice_mtn"])
-    met = texts.join(places.hint("shuffle_hash"), on, "left").drop("_sluice_id", "_sluice_mth", "_sluice_mtn", "_sluice_th", "_sluice_tn")
+    met = texts.join(places, on, "left").drop("_sluice_id", "_sluice_mth", "_sluice_mtn", "_sluice_th", "_sluice_tn")
     gaps = lambda s: F.transform(  # noqa: E731  the runs of lines between two dropped ones
         F.sequence(F.lit(0), F.size(s["cut"]) - 2),
         lambda j: F.slice(s["lines"], F.get(s["cut"], j) + 2, F.get(s["cut"], j + 1) - F.get(s["cut"], j) - 1),
     )
     cut = F.concat(F.array(F.lit(-1)), F.col("_sluice_drop"), F.array(F.size(lines)))
     kept = F.when(F.col("_sluice_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(let(F.struct(lines.alias("lines"), cut.alias("cut")), lambda s: F.array_join(F.flatten(gaps(s)), "\n")))
-    return met.withColumns({"_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce(F.size("_sluice_drop"), F.lit(0)).cast("long"), "_kept": kept}).drop("_sluice_drop")
+    return met.withColumn(found, F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_sluice_drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))).drop("_sluice_drop")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
     out = drop_shared_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("_kept"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "_found.n_lines", "_found.n_dropped", F.sha2("_found.kept", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

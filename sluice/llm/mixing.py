@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import join_small, n_words, written
+from sluice.llm.common import join_small, let, n_words, written
 
-#: Buckets of the key range in which sizes are pre-summed; only one of them per source is sorted row by row.
-BUCKETS = 4096
+#: Buckets of the key range in which sizes are pre-summed: BUCKETS, or more so that one holds about ROWS rows at most.
+BUCKETS, ROWS = 4096, 50_000
 
 
 def quality_weight(text: Column) -> Column:
-    """0.5 to 1.5: half plus the share of the text's code points that are lower-case letters or spaces."""
-    n = F.char_length(text)
-    plain = F.regexp_count(text, F.lit(r"[\p{Ll} ]"))
-    return F.when(n > 0, F.lit(0.5) + plain / n).otherwise(F.lit(0.5))
+    """0.5 to 1.5: half plus the product of three shares that prose has high and junk low. How many of the text's code points are
+    lower-case letters or spaces; how near the mean word is to 3 to 10 code points; how many of its lines are no repeats."""
+    n, words = F.char_length(text), n_words(text)
+    plain = (n - F.char_length(F.regexp_replace(text, r"[\p{Ll} ]++", ""))) / n
+    mean = (n - words + 1) / F.greatest(words, F.lit(1))
+    length = F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean / 3, 2 - mean / 10))
+    fresh = let(F.split(text, "\n", -1), lambda lines: F.size(F.array_distinct(lines)) / F.size(lines))
+    return F.when(n > 0, F.lit(0.5) + plain * length * fresh).otherwise(F.lit(0.5))
 
 
 def sampling_key(id_col: Column, text: Column, weight: Column, seed: int) -> Column:
@@ -48,10 +52,11 @@ def thresholds(keyed: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     row of its fractional epoch, _sluice_cut (key, id, hash); null where none is taken.
 
     Sizes are summed per source and key bucket first (one partial row per source, bucket and task, so a hot source
-    spreads), prefix sums run over at most BUCKETS rows a source, and only the bucket in which the budget ends is
-    sorted row by row.
+    spreads), prefix sums run over one row per source and bucket, and only the bucket in which the budget ends, of about
+    ROWS rows at most, is sorted row by row.
     """
-    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    buckets = max(BUCKETS, keyed.count() // ROWS)
+    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("int")
     keyed = keyed.withColumn("_bucket", bucket)
     sums = written(keyed.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"), F.max(F.struct("_key", "_id", "_th")).alias("_last")))
     size = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size"))

@@ -15,7 +15,7 @@ from sluice.llm.words import split_arrow
 
 WINDOW, END = 4096, 1
 #: Words whose ids a Python worker keeps between batches and tasks.
-CACHED = 400_000
+CACHED = 150_000
 #: Marks that end a word and are a token run of their own after a letter or number.
 TAIL = ".,;:!?"
 
@@ -38,7 +38,8 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.at: dict[str, int] = {"": 0}
-        self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.known = 1
+        self.flat, self.upto = np.zeros(1 << 18, np.uint32), np.zeros(CACHED + 2, np.int32)  # word k's ids: flat[upto[k] : upto[k + 1]]
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words end to end, and how many each has. Words of letters alone go as one text, cut where tokens end words."""
@@ -59,23 +60,30 @@ class Ids:
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, start, how many) of each of the words; one that is there twice is tokenized twice, to no harm."""
-        known, find = len(self.at), self.at.get
+        known, find = self.known, self.at.get
+        used = int(self.upto[known])
         place = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(place < 0)
+        start, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        there = place >= 0
+        start[there], n[there] = self.upto[place[there]], np.diff(self.upto)[place[there]]
         if not len(missing):
-            return self.flat, self.start[place], self.n[place]
+            return self.flat, start, n
         new = [words[i] for i in missing.tolist()]
         plain = np.fromiter(map(str.isalpha, new), bool, len(new))
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])  # letters alone first
         missing, new = missing[order], [new[i] for i in order.tolist()]
-        ids, n = self.encoded(new)
-        place[missing] = known + np.arange(len(new))
-        flat = np.concatenate([self.flat, ids])
-        starts, sizes = np.concatenate([self.start, np.cumsum(n) - n + len(self.flat)]), np.concatenate([self.n, n])
-        if known + len(new) <= CACHED:
-            self.at.update(zip(new, range(known, known + len(new)), strict=True))
-            self.flat, self.start, self.n = flat, starts, sizes
-        return flat, starts[place], sizes[place]
+        ids, sizes = self.encoded(new)
+        start[missing], n[missing] = used + np.cumsum(sizes) - sizes, sizes
+        if known + len(new) > CACHED:  # these are not kept
+            return np.concatenate([self.flat[:used], ids]), start, n
+        if used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[used : used + len(ids)] = ids
+        self.upto[known + 1 : known + len(new) + 1] = used + np.cumsum(sizes)
+        self.at.update(zip(new, range(known, known + len(new)), strict=True))
+        self.known += len(new)
+        return self.flat, start, n
 
     def batch(self, texts):
         """texts (an Arrow string array) -> ids of all texts end to end, and where each text starts, plus the end."""
@@ -147,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return mapped(rows, run, f"_id {kind}, piece int, start long, length long, crc long, _part int, _nth long" + ", ids array<long>" * with_ids, 6 << 20)
+    return mapped(rows, run, f"_id {kind}, piece int, start long, length long, crc long, _part int, _nth long" + ", ids array<long>" * with_ids, 2 << 20)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:

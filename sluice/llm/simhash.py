@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import join_salted, mapped, written
+from sluice.llm.common import dropped, join_salted, mapped, written
 from sluice.llm.components import components
 
 BITS, SEGMENT, RADIUS = 64, 4, 2
+#: Place and size of each third of the bits; fingerprints that are verified against each other in one place, at most.
+THIRDS, MANY = ((0, 21), (21, 21), (42, 22)), 64
 
 
 def simhash(text: bytes | None, run: int = 3, step: int = 1 << 18) -> int:
@@ -55,22 +57,34 @@ def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) that join the same fingerprints, of the distinct ones in fps (_fp), as all pairs at RADIUS or fewer bits do.
 
     Two fingerprints at 2 or fewer bits have segment counts at Manhattan distance 2 or less, and so a cell of the grid
-    at distance 1 or less from both. A cell that holds just two fingerprints gives them as a pair to verify. Those
-    in a cell with more meet by themselves with one bit changed instead: two share such a value just if they are at 2
-    or fewer bits, and no value has more than 65 fingerprints about it. So work grows with the number of
-    fingerprints, and a dense group yields stars, not all its pairs.
+    at distance 1 or less from both. A cell that holds just two fingerprints gives them as a pair to verify. A fuller
+    cell is cut into buckets by each third of the bits, as two fingerprints at 2 or fewer bits are alike in one third;
+    the fingerprints of a bucket are verified against each other where they are MANY or fewer. Where they are more, a
+    bucket's fingerprints meet with one bit changed: two share such a value just if they are at 2 or fewer bits, and no
+    value has more than 65 about it. So a dense group yields stars, not all its pairs, and no task holds all of it.
     """
     # few bytes a row become many rows: dealt evenly first
     fps = fps.select("_fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp")
     cells = fps.select("_fp", F.explode(_cells(F.col("_fp"))).alias("_cell"))
-    met = cells.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_fp").alias("a"), F.max("_fp").alias("b")).where("n > 1")
-    met = written(met)
-    pairs = met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)).select("a", "b").distinct()
-    crowd = cells.join(met.where("n > 2").select("_cell"), "_cell", "left_semi").select("_fp").distinct()
+    few = [F.count(F.lit(1)).alias("n"), F.min("_fp").alias("a"), F.max("_fp").alias("b")]
+    met = written(cells.groupBy("_cell").agg(*few).where("n > 1"))
+    full = cells.join(met.where("n > 2").select("_cell"), "_cell", "left_semi")
+    thirds = F.array(*[F.shiftrightunsigned("_fp", at).bitwiseAND(F.lit((1 << size) - 1)) for at, size in THIRDS])
+    bucket = ["_cell", "_third", "_bits"]
+    full = written(full.select("_fp", "_cell", F.posexplode(thirds).alias("_third", "_bits")))
+    deep = written(full.groupBy(*bucket).agg(*few).where("n > 1"))
+    is_near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
+    pairs = met.where("n = 2").select("a", "b").unionByName(deep.where("n = 2").select("a", "b")).where(is_near)
+
+    some = full.join(deep.where((F.col("n") > 2) & (F.col("n") <= MANY)).select(*bucket), bucket, "left_semi")
+    some = some.groupBy(*bucket).agg(F.array_sort(F.collect_list("_fp")).alias("_all"))  # MANY at most
+    some = some.select("_all", F.posexplode("_all").alias("_at", "a")).select("a", F.explode(F.filter(F.slice("_all", F.col("_at") + 2, F.lit(MANY)), lambda y: F.bit_count(F.col("a").bitwiseXOR(y)) <= RADIUS)).alias("b"))
+
+    crowd = full.join(deep.where(F.col("n") > MANY).select(*bucket), bucket, "left_semi").select("_fp").distinct()
     near = crowd.select("_fp", F.explode(F.array(F.col("_fp"), *[F.col("_fp").bitwiseXOR(F.lit(v - (1 << BITS) if v >= 1 << BITS - 1 else v)) for v in (1 << i for i in range(BITS))])).alias("_near"))
     stars = near.groupBy("_near").agg(F.collect_set("_fp").alias("_all")).where(F.size("_all") > 1)  # 65 at most
-    stars = stars.select(F.array_min("_all").alias("a"), F.explode("_all").alias("b")).where("a <> b").distinct()
-    return pairs.unionByName(stars)
+    stars = stars.select(F.array_min("_all").alias("a"), F.explode("_all").alias("b")).where("a <> b")
+    return pairs.unionByName(some).unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,10 +102,13 @@ def grouped(rows: DataFrame, link) -> DataFrame:
     """rows (a written table of _id, _th, _fp) plus `_component` by the pairs (a, b) of `_fp` that link(fps) gives."""
     fps = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")))
     root = components(link(fps))
-    root = root.join(fps, root["node"] == fps["_fp"]).select("node", "root", "_first")
-    least = root.groupBy("root").agg(F.min("_first").alias("_least"))
-    of = root.join(least, "root").select(F.col("node").alias("_fp"), "_least")
+    root = written(root.join(fps, root["node"] == fps["_fp"]).select("_fp", "root", "_first"))
+    least = written(root.groupBy("root").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_many")))
+    of = join_salted(root, least, ["root"], "_many", root.count()).select("_fp", "_least")
     component = written(fps.join(of, "_fp", "left").select("_fp", "_n", F.coalesce("_least", "_first").alias("_component")))
+    dropped(root)
+    dropped(least)
+    dropped(fps)
     return join_salted(rows, component, ["_fp"], "_n", rows.count()).select("_id", "_th", "_fp", "_component")
 
 
@@ -103,7 +120,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = rows.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("z"), "_id", "_th")).alias("_k")).select(F.col("_k._id").alias("_kid"), F.col("_k._th").alias("_kth"))
     keep = keep.withColumnsRenamed({"_kid": "_sluice_id", "_kth": "_sluice_kept"})
     texts = docs.withColumn("_sluice_th", F.xxhash64(text_col))
-    met = texts.join(keep.hint("shuffle_hash"), texts[id_col].eqNullSafe(keep["_sluice_id"]) & (texts["_sluice_th"] == keep["_sluice_kept"]))
+    met = texts.join(keep, texts[id_col].eqNullSafe(keep["_sluice_id"]) & (texts["_sluice_th"] == keep["_sluice_kept"]))
     if rows.groupBy("_id", "_th").count().where("count > 1").isEmpty():
         return met.select(*docs.columns)
     return met.dropDuplicates([id_col, "_sluice_th"]).select(*docs.columns)

@@ -42,7 +42,7 @@ def clashing(df):
     """df with extra columns whose names operators could trip over."""
     from pyspark.sql import functions as F
 
-    names = ["length", "start", "fingerprint", "key", "h1", "h2", "n", "a", "b", "pos", "size", "epochs", "target", "component_id", "_kept2", "count", "piece"]
+    names = ["length", "start", "fingerprint", "key", "h1", "h2", "n", "a", "b", "pos", "size", "epochs", "target", "component_id", "_kept", "_n_lines", "_n_dropped", "count", "piece"]
     return df.withColumns({n: F.lit(f"extra {n}") for n in names if n not in df.columns})
 
 

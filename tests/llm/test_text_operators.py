@@ -67,7 +67,7 @@ def test_line_dedup_is_what_its_sql_says(spark):
 def test_line_dedup_of_many_lines(spark):
     text = "\n".join(f"this line number {k} is long enough to count as one" for k in range(3000))
     own = [(i, text + f"\nown {i}", None, None, 0) for i in range(6)]
-    got = {r["doc_id"]: (r["_n_dropped"], r["_kept"]) for r in lines.drop_shared_lines(docs(spark, own)).collect()}
+    got = {r["doc_id"]: (r["_found"]["n_dropped"], r["_found"]["kept"]) for r in lines.drop_shared_lines(docs(spark, own)).collect()}
     assert got[5] == (0, text + "\nown 5") and all(got[i] == (3000, f"own {i}") for i in range(5))
 
 
@@ -288,3 +288,16 @@ def test_tables_are_cut_in_the_shared_folder(spark):
     big, small = spark.createDataFrame([("a", 1), (None, 2), ("a", 3), ("z", 4)], "k string, v int"), spark.createDataFrame([("a", 10), (None, 20)], "s string, w int")
     for most in (100, 1):
         assert sorted(map(tuple, join_small(big, small, "k", "s", most=most).collect()), key=str) == sorted([("a", 1, 10), (None, 2, 20), ("a", 3, 10), ("z", 4, None)], key=str)
+
+
+def test_ids_of_words_met_again(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    for most in (150_000, 5):
+        monkeypatch.setattr(packing, "CACHED", most)
+        ids = packing.Ids(packing.tokenizer_path())
+        for texts in (["...", "a... b!", "x."], ["new words, here... now", "a x b ...", ""], ["here now words!", ". ! ?"]):
+            flat, at = ids.batch(pa.array(texts))
+            assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
