@@ -152,7 +152,7 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray, id_col: str = "
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    return mapped(rows, run, f"_id {kind}, _th bigint, _lang_pred string, _score double, _fits double")
+    return mapped(rows, run, f"_id {kind}, _th bigint, _lang_pred string, _score double, _fits double", 1 << 20)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -12,10 +12,10 @@ from sluice.llm.common import join_small, let, n_words, written
 BUCKETS, ROWS = 4096, 50_000
 
 
-def quality_weight(text: Column) -> Column:
+def quality_weight(text: Column, words: Column) -> Column:
     """0.5 to 1.5: half plus the product of three shares that prose has high and junk low. How many of the text's code points are
-    lower-case letters or spaces; how near the mean word is to 3 to 10 code points; how many of its lines are no repeats."""
-    n, words = F.char_length(text), n_words(text)
+    lower-case letters or spaces; how near the mean of its `words` is to 3 to 10 code points; how many of its lines are no repeats."""
+    n = F.char_length(text)
     plain = (n - F.char_length(F.regexp_replace(text, r"[\p{Ll} ]++", ""))) / n
     mean = (n - words + 1) / F.greatest(words, F.lit(1))
     length = F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean / 3, 2 - mean / 10))
@@ -76,9 +76,12 @@ def thresholds(keyed: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     return met.select(F.col("source").alias("_sluice_of"), F.col("source_size").alias("_sluice_size"), F.col("target").alias("_sluice_target"), F.col("epochs").alias("_sluice_epochs"), F.when(F.col("budget") > 0, F.col("_cut")).alias("_sluice_cut"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(text).alias("_size"), sampling_key(F.col(id_col), text, quality_weight(text), seed).alias("_key"), F.xxhash64(text).alias("_th"))
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11, to: str = "_sluice_mix") -> DataFrame:
+    """docs plus a struct `to` of _id, _source, _size, _key and _th. Two steps, so that words are counted once."""
+    text, size = F.col(text_col), F.col(f"{to}_size")
+    sized = docs.withColumn(f"{to}_size", n_words(text))
+    parts = [F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("_size"), sampling_key(F.col(id_col), text, quality_weight(text, size), seed).alias("_key"), F.xxhash64(text).alias("_th")]
+    return sized.withColumn(to, F.struct(*parts)).drop(f"{to}_size")
 
 
 def times(row: DataFrame, cut: DataFrame, source_col: str, at: Column) -> DataFrame:
@@ -96,16 +99,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Rows alike in id and text have one key and are decided together. An empty table gives an empty table. Columns of
     other names pass through.
     """
-    row = written(keyed(docs, id_col, text_col, source_col, seed))
-    cut = written(thresholds(row))
-    text = F.col(text_col)
-    at = F.struct(sampling_key(F.col(id_col), text, quality_weight(text), seed).alias("_key"), F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"))
-    out = times(docs, cut, source_col, at).where(F.col("_sluice_times") > 0)
+    table = written(keyed(docs, id_col, text_col, source_col, seed))  # with the texts, so that no text is weighed twice
+    cut = written(thresholds(table.select("_sluice_mix.*")))
+    out = times(table, cut, source_col, F.struct(*[F.col("_sluice_mix")[c].alias(c) for c in ("_key", "_id", "_th")])).where(F.col("_sluice_times") > 0)
     own = [F.col(f"`{c}`") for c in docs.columns]
     return out.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_sluice_times"))).alias("_sluice_copy")).drop("_sluice_copy")
 
 
 def query(spark, docs: DataFrame) -> DataFrame:
-    row = written(keyed(docs))
+    row = written(keyed(docs).select("_sluice_mix.*"))
     out = times(row, written(thresholds(row)), "_source", F.struct("_key", "_id", "_th"))
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_sluice_size").alias("source_size"), F.col("_sluice_target").alias("target"), (F.col("_size") * F.col("_sluice_times")).alias("taken"))
