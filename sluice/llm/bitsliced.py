@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +13,8 @@ from sluice.llm.common import mapped, written
 
 #: Rows of an index block, queries of a query block: what one task holds.
 ROWS, QUERIES = 1 << 16, 128
+#: In place of the number of slices: a block of rows with components too large for slices, kept as doubles.
+WIDE = -1
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +103,32 @@ def top_rows(score: list[np.ndarray | None], among: np.ndarray, k: int, ids: np.
     return np.concatenate([first, tied])
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Which rows of whole numbers (rows, dims) are so small that no inner product of two of them leaves 62 bits."""
+    return (np.abs(values) < 2.0 ** ((62 - max(1, values.shape[1]).bit_length()) // 2)).all(1)
+
+
+def exact_top(values: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int, but: int | None) -> list[tuple[int, int]]:
+    """(row, score) of the k best rows of doubles that are whole numbers of any size, in unbounded integers."""
+    whole = lambda x: np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+    scores = whole(values) @ whole(query)
+    return [(r, scores[r]) for r in heapq.nsmallest(k, (r for r in range(len(ids)) if r != but), key=lambda r: (-scores[r], ids[r], r))]
+
+
+def beyond(score: int) -> tuple[int, int, bytes | None]:
+    """(how far beyond 64 bits, the nearest long, bytes that sort as the score does); 0 and no bytes where it fits."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, score, None
+    size = score.bit_length()
+    return (size if score > 0 else -size), (1 << 63) - 1 if score > 0 else -(1 << 63), (score + (1 << 2399)).to_bytes(300, "big")
+
+
+def _opened(maps: np.ndarray, lows: np.ndarray, n: int) -> np.ndarray:
+    """The rows of an index block as doubles: the way back from slices()."""
+    bits = np.unpackbits(maps.view(np.uint8), axis=2, bitorder="little")[:, :, :n].astype(np.int64)
+    return ((bits << np.arange(maps.shape[1])[None, :, None]).sum(1) + lows[:, None]).T.astype(np.float64)
+
+
 def _blocks(vectors: DataFrame, id_col: str, vec_col: str, scale: float, every: int, n: int) -> DataFrame:
     """One row per index block (kind 0: ids, lows, bitmaps) and per query block (kind 1: place of each query's own row, vectors)."""
 
@@ -107,18 +137,18 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str, scale: float, every:
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId() << 24, 0
-        held: dict[int, list] = {}
+        held: dict[tuple[int, bool], list] = {}
 
-        def block(dims: int, ids: np.ndarray, values: np.ndarray):
+        def block(dims: int, small: bool, ids: np.ndarray, values: np.ndarray):
             nonlocal made
             name = part + made
             made += 1
-            lows, maps = slices(values)
-            out = [(0, dims, name, ids.tobytes(), lows.astype("<i8").tobytes(), maps.shape[1], maps.tobytes())]
+            lows, maps = slices(values.astype(np.int64)) if small else (np.zeros(0), None)
+            out = [(0, dims, name, ids.tobytes(), lows.astype("<i8").tobytes(), maps.shape[1] if small else WIDE, (maps if small else values).tobytes())]
             asked = np.flatnonzero(ids % every == 0)
             for i in range(0, len(asked), QUERIES):
                 own = asked[i : i + QUERIES]
-                out.append((1, dims, name, ids[own].tobytes(), own.astype("<i8").tobytes(), i, values[own].astype("<i8").tobytes()))
+                out.append((1, dims, name, ids[own].tobytes(), own.astype("<i8").tobytes(), i, values[own].tobytes()))
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds, strict=True)], names=["kind", "dims", "block", "ids", "a", "b", "data"])
 
@@ -132,15 +162,23 @@ def _blocks(vectors: DataFrame, id_col: str, vec_col: str, scale: float, every:
                 rows = np.flatnonzero(sizes == dims)
                 x = flat[starts[rows][:, None] + np.arange(dims)]
                 good = np.isfinite(x).all(1)
-                held.setdefault(int(dims), []).append((ids[rows][good], np.floor(scale * x[good]).astype(np.int64)))
-                while sum(len(i) for i, _ in held[int(dims)]) >= ROWS:
-                    i, v = (np.concatenate(y) for y in zip(*held[int(dims)], strict=True))
-                    yield block(int(dims), i[:ROWS], v[:ROWS])
-                    held[int(dims)] = [(i[ROWS:], v[ROWS:])]
-        for dims, parts in held.items():
-            i, v = (np.concatenate(y) for y in zip(*parts, strict=True))
+                with np.errstate(over="ignore"):
+                    v, own = np.floor(scale * x[good]), ids[rows][good]
+                real = np.isfinite(v).all(1)
+                v, own = v[real], own[real]
+                small = narrow(v)
+                for kind in (True, False):
+                    pick = small == kind
+                    parts = held.setdefault((int(dims), kind), [])
+                    parts.append((own[pick], v[pick]))
+                    while sum(len(i) for i, _ in parts) >= ROWS:
+                        i, w = (np.concatenate(y) for y in zip(*parts, strict=True))
+                        yield block(int(dims), kind, i[:ROWS], w[:ROWS])
+                        parts[:] = [(i[ROWS:], w[ROWS:])]
+        for key, parts in held.items():
+            i, w = (np.concatenate(y) for y in zip(*parts, strict=True))
             if len(i):
-                yield block(dims, i, v)
+                yield block(*key, i, w)
 
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v")).where("_id IS NOT NULL AND _v IS NOT NULL")
     return mapped(rows.repartition(n), run, "kind int, dims int, block long, ids binary, a binary, b int, data binary")
@@ -151,8 +189,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     inner product of components taken as floor(scale * x), ties to the smaller id; every row but the query's own.
 
     Rows whose vector is null or empty, or holds a null or non-finite component, and rows without an id take no part.
-    Vectors of different lengths don't meet. Repeated ids are separate rows, as queries too. Products must fit 64
-    bits. An empty table gives an empty table.
+    Vectors of different lengths don't meet. Repeated ids are separate rows, as queries too. Components may have
+    any size: rows with such that a product could leave 62 bits are kept apart, as whole doubles, and multiplied in
+    unbounded integers. Ranks go by the exact score; a score beyond 64 bits is given as the nearest long. A component
+    whose scaled value is no finite double counts as non-finite. An empty table gives an empty table.
 
     Rows are dealt into index blocks of at most ROWS, query rows into blocks of QUERIES; each query block meets each
     index block once, and a task holds one of both. Every row is indexed and every slice added, so recall is 1.
@@ -177,27 +217,35 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
         for batch in batches:
             for r in batch.to_pylist():
                 if held != r["block"]:
-                    held, ids = r["block"], np.frombuffer(r["ids"], np.int64)
-                    maps = np.frombuffer(r["data"], "<u8").reshape(r["dims"], r["bits"], -1)
-                    inverse = ~maps
-                lows = np.frombuffer(r["lows"], "<i8")
-                every_row = np.packbits(np.arange(maps.shape[2] * 64) < len(ids), bitorder="little").view("<u8")
-                queries, own = np.frombuffer(r["queries"], "<i8").reshape(-1, r["dims"]), np.frombuffer(r["q_rows"], "<i8")
+                    held, ids, small = r["block"], np.frombuffer(r["ids"], np.int64), r["bits"] != WIDE
+                    maps = np.frombuffer(r["data"], "<u8" if small else "<f8").reshape(r["dims"], r["bits"], -1) if small else np.frombuffer(r["data"], "<f8").reshape(-1, r["dims"])
+                    inverse = ~maps if small else None
+                    lows = np.frombuffer(r["lows"], "<i8")
+                    every_row = np.packbits(np.arange(maps.shape[2] * 64) < len(ids), bitorder="little").view("<u8") if small else None
+                queries, own = np.frombuffer(r["queries"], "<f8").reshape(-1, r["dims"]), np.frombuffer(r["q_rows"], "<i8")
                 out = []
-                for q, row, name in zip(queries, own.tolist(), np.frombuffer(r["q_ids"], np.int64).tolist(), strict=True):
-                    score, constant = score_slices(maps, inverse, q)
-                    among = every_row.copy()
-                    if r["q_block"] == held:
-                        among[row // 64] &= ~(np.uint64(1) << np.uint64(row % 64))
-                    base = int(q @ lows) - constant
-                    for t in top_rows(score, among, k, ids).tolist():
-                        s = sum(((int(p[t // 64]) >> (t % 64)) & 1) << w for w, p in enumerate(score) if p is not None)
-                        out.append((r["q_block"], row, name, int(ids[t]), s + base))
-                columns = list(zip(*out)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["q_block", "q_row", "query_id", "vec_id", "score"])
-
-    found = mapped(pairs, run, "q_block long, q_row long, query_id long, vec_id long, score long")
-    order = W.partitionBy("q_block", "q_row").orderBy(F.col("score").desc(), "vec_id")
+                for q, fits, row, name in zip(queries, narrow(queries), own.tolist(), np.frombuffer(r["q_ids"], np.int64).tolist(), strict=True):
+                    but = row if r["q_block"] == held else None
+                    if not (small and fits):
+                        table = maps if small is False else _opened(maps, lows, len(ids))
+                        best = exact_top(table, q, ids, k, but)
+                    else:
+                        q = q.astype(np.int64)
+                        score, constant = score_slices(maps, inverse, q)
+                        among = every_row.copy()
+                        if but is not None:
+                            among[row // 64] &= ~(np.uint64(1) << np.uint64(row % 64))
+                        base = int(q @ lows) - constant
+                        best = [(t, base + sum(((int(p[t // 64]) >> (t % 64)) & 1) << w for w, p in enumerate(score) if p is not None)) for t in top_rows(score, among, k, ids).tolist()]
+                    for t, s in best:
+                        over, score_, tail = beyond(s)
+                        out.append((r["q_block"], row, name, int(ids[t]), score_, over, tail))
+                columns = list(zip(*out)) or [[]] * 7
+                kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["q_block", "q_row", "query_id", "vec_id", "score", "over", "tail"])
+
+    found = mapped(pairs, run, "q_block long, q_row long, query_id long, vec_id long, score long, over int, tail binary")
+    order = W.partitionBy("q_block", "q_row").orderBy(F.col("over").desc(), F.col("tail").desc(), F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -211,6 +211,19 @@ def test_top_k(spark, rows, monkeypatch):
     assert sorted(map(tuple, bitsliced.query(spark, twice).collect())) == [(50, 1, 51, 131072), (50, 1, 51, 131072), (50, 2, 50, 65536), (50, 2, 50, 65536)]
 
 
+def test_scores_beyond_64_bits(spark):
+    own = [(0, [1e10, 2.0, 0.0]), (1, [1e10, 1.0, 3.0]), (2, [-1e10, 0.5, 1.0]), (3, [1e-3, 1e10, 0.0]), (50, [0.5, -2.0, 1.0]), (51, [3.0, 1.0, 0.0]), (52, [1e300, 0.0, 1.0]), (100, [-1e300, 1.0, 1.0]), (150, [2e300, 1e280, 5.0]), (53, [1e308, 0.0, 0.0])]
+    df = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, bitsliced.query(spark, df).collect()))
+    vecs = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in own if i != 53]  # 256 * 1e308 is no double
+    want = []
+    for i, v in vecs:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in vecs if j != i)[:5]
+            want += [(i, r + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_slices_and_digits():
     for v in (0, 1, -1, 7, -100, 255, 12345):
         assert sum(s << p for p, s in bitsliced.signed_digits(v)) == v
