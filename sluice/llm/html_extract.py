@@ -20,6 +20,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 #: Elements that hold one block of their neighbours' content.
 SINGLE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
+#: Own choices, no fixed values: words in class names and ids that tell of an aside.
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsbygoogle|adbox|adslot|adunit|leaderboard|outbrain|taboola|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|sidebar|side|menu|nav\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|respond|replies|reply|disqus|share|sharing|social|related|recommend\w*|pagination|pager|login|search|copyright|skip|hidden|sr-only)(?:$|[\s_-]|\d)",
     re.I,
@@ -29,16 +30,31 @@ NAMES = re.compile(
 EXACT = {"widget", "widgets", "widget-area", "tag", "tags", "tag-list", "tag-links", "tag-cloud", "post-tags", "entry-tags"}
 MODIFIER = re.compile(r"(?:has|no|with|without|tag|category)[_-].*|(?:entry|post|article)[_-]+header", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+PLAIN_END = re.compile(r"[^>\"']*+>")
+QUOTED_END = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+#: Characters of a tag that are looked through for its end, quotes minded.
+REACH = 1 << 16
+#: Elements that are open within each other, at most.
+DEPTH = 512
+#: What standing aside by the element's name, role or being hidden, and by class or id, does to a block's fused ratio.
+BY_TAG, BY_NAME = 0.02, 0.05
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 MARKS = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class Node:
-    __slots__ = ("aside", "named", "parent", "path", "tag")
+    """An element: its path is the number of its root-to-leaf tag path, alike for all elements of one path."""
 
-    def __init__(self, tag, parent, path, aside, named=False):
-        self.tag, self.parent, self.path, self.aside, self.named = tag, parent, path, aside, named
+    __slots__ = ("aside", "below", "named", "parent", "path", "tag")
+
+    def __init__(self, tag, parent, aside=False, named=False):
+        self.tag, self.parent, self.aside, self.named = tag, parent, aside or (parent is not None and parent.aside), named
+        if parent is None:
+            self.path, self.below = (), {}
+        else:  # paths share their beginnings: a step down is one look-up
+            self.path = parent.below.setdefault(tag, [(id(parent.below), tag), {}])
+            self.path, self.below = self.path
 
 
 def _is_aside(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -53,7 +69,7 @@ def _is_aside(tag: str, attrs: str) -> tuple[bool, bool]:
     if a.get("role", "").lower() in ROLES:
         return True, False
     named = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower().split()  # sideBar as side-bar
-    return False, tag != "article" and any(n in EXACT or (NAMES.search(n) and not MODIFIER.fullmatch(n)) for n in named)
+    return False, tag not in SINGLE and tag != "article" and any(n in EXACT or (NAMES.search(n) and not MODIFIER.fullmatch(n)) for n in named)
 
 
 def _beside(found) -> set[Node]:
@@ -79,11 +95,69 @@ def _beside(found) -> set[Node]:
     return {node for node in own if 2 * inside[node] <= every or articles[node] < total}
 
 
+def tokens(html: str):
+    """(text, tag, whether it closes, attributes) in page order: text has no tag. Comments and declarations are left out.
+    Every character is looked at a bounded number of times: what has no end once is not looked for again, and where a
+    quote in a tag has no end within REACH, tags from there on end at the next > until REACH is past."""
+    pos, n, unquoted = 0, len(html), 0
+    never: set[str] = set()
+
+    def find(what: str, at: int) -> int:
+        if what in never:
+            return -1
+        got = html.find(what, at)
+        if got < 0:
+            never.add(what)
+        return got
+
+    while pos < n:
+        at = html.find("<", pos)
+        if at < 0:
+            yield html[pos:], "", False, ""
+            return
+        if at > pos:
+            yield html[pos:at], "", False, ""
+        m = TAG.match(html, at)
+        if not m:
+            opened = next((o for o in ("<!--", "<![CDATA[") if html.startswith(o, at)), None)
+            end = find("-->" if opened == "<!--" else "]]>", at + len(opened)) if opened else -1
+            if end >= 0:
+                if opened != "<!--":
+                    yield html[at + len(opened) : end], "", False, ""
+                pos = end + 3
+            elif html.startswith(("<!", "<?", "</"), at) and (end := find(">", at)) >= 0:
+                pos = end + 1
+            else:
+                yield "<", "", False, ""
+                pos = at + 1
+            continue
+        end = PLAIN_END.match(html, m.end(), m.end() + REACH)
+        if not end and at >= unquoted:
+            end = QUOTED_END.match(html, m.end(), m.end() + REACH)
+            if not end:
+                unquoted = at + REACH
+        stop = end.end() if end else find(">", m.end()) + 1
+        if not stop:  # no > any more: the rest is text
+            yield html[at:], "", False, ""
+            return
+        pos = stop
+        tag, closes = m[1].lower(), html[at + 1] == "/"
+        yield "", tag, closes, html[m.end() : stop - 1]
+        if not closes and tag in RAW and html[stop - 2] != "/" and f"</{tag}" not in never:
+            last = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, pos)
+            if last:
+                pos = last.start()
+                yield None, tag, False, ""  # what it held is left out
+            else:
+                never.add(f"</{tag}")
+        if not closes and tag in ("script", "style") and f"</{tag}" in never:
+            pos = max(pos, html.find("<", pos)) if "<" in html[pos : pos + REACH] else pos
+
+
 def blocks(html: str):
     """(node, text, characters inside links) of each block of text in page order; node is the element that holds it."""
-    root = Node("", None, "", False)
+    root = Node("", None, "")
     stack, parts, links, depth_a, out = [root], [], 0, 0, []
-    pos, n = 0, len(html)
 
     def flush():
         nonlocal parts, links
@@ -93,35 +167,20 @@ def blocks(html: str):
                 out.append((stack[-1], text, links))
         parts, links = [], 0
 
-    def put(piece: str):
-        nonlocal links
-        piece = unescape(piece) if "&" in piece else piece
-        parts.append(piece)
-        if depth_a:
-            links += len(piece)
-
-    while pos < n:
-        m = TOKEN.search(html, pos)
-        if not m:
-            put(html[pos:])
-            break
-        if m.start() > pos:
-            put(html[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or "").lower()
+    for piece, tag, closing, attrs in tokens(html):
+        if piece is None:
+            continue
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:].removesuffix("]]>"))
+            piece = unescape(piece) if "&" in piece else piece
+            parts.append(piece)
+            if depth_a:
+                links += len(piece)
             continue
-        if not m[1] and tag in RAW:
-            if m[0].endswith("/>"):
-                continue
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
-            if tag not in ("button", "object", "title", "select"):
-                parts.append(" ")
-            else:
+        if tag in RAW:
+            if tag in ("button", "object", "title", "select"):
                 flush()
-            pos = end.end() if end else n
+            else:
+                parts.append(" ")
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -129,18 +188,18 @@ def blocks(html: str):
             continue
         if tag in INLINE:
             if tag == "a":
-                depth_a = 0 if m[1] else 1
-            if m[1]:
+                depth_a = 0 if closing else 1
+            if closing:
                 if stack[-1].tag == tag:
                     flush()
                     stack.pop()
-            elif m[3] and any(is_aside := _is_aside(tag, m[3])):
+            elif attrs and any(is_aside := _is_aside(tag, attrs)):
                 flush()
-                stack.append(Node(tag, stack[-1], f"{stack[-1].path}/{tag}", stack[-1].aside or is_aside[0], is_aside[1]))
+                stack.append(Node(tag, stack[-1], *is_aside))
             continue
         flush()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        if closing:
+            for k in range(len(stack) - 1, max(0, len(stack) - DEPTH), -1):
                 if stack[k].tag == tag:
                     del stack[k:]
                     depth_a = 0
@@ -149,23 +208,43 @@ def blocks(html: str):
         closes = CLOSES.get(tag, set())
         while len(stack) > 1 and (stack[-1].tag in closes or stack[-1].tag == "p" or (stack[-1].tag in INLINE and not stack[-1].aside and not stack[-1].named)):
             stack.pop()
-        up = stack[-1]
-        is_aside, named = _is_aside(tag, m[3])
-        stack.append(Node(tag, up, f"{up.path}/{tag}", up.aside or is_aside, named))
+        # in a stack of DEPTH elements, a new one takes the place of the last
+        up = stack.pop().parent if len(stack) >= DEPTH else stack[-1]
+        stack.append(Node(tag, up, *_is_aside(tag, attrs)))
     flush()
     return out
 
 
+def ratios(found) -> list[float]:
+    """The fused ratio of each block: text outside links, and punctuation, are summed per root-to-leaf tag path and divided
+    by the path's blocks; both are smoothed over the blocks in page order and multiplied."""
+    size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
+    for node, text, link in found:
+        size[node.path] += max(0, len(text) - link)
+        marks[node.path] += len(MARKS.findall(text))
+        count[node.path] += 1
+    own = [(size[b[0].path] / count[b[0].path], (1 + marks[b[0].path]) / count[b[0].path]) for b in found]
+    out = []
+    for i in range(len(own)):
+        near = [(w, own[i + d]) for d, w in zip((-1, 0, 1), (0.25, 0.5, 0.25), strict=True) if 0 <= i + d < len(own)]
+        total = sum(w for w, _ in near)
+        a, b = (sum(w * r[k] for w, r in near) / total for k in (0, 1))
+        out.append(a * b)
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the page's main content, joined by one space.
 
-    Blocks in elements that hold menus, headers, footers, sidebars, notices, adverts, forms or comments, by element
-    name, role, class or id, stand aside; an element with most of the page's text not by its class or id. For the rest, text length and punctuation are summed per root-to-leaf tag
-    path and divided by the path's blocks; both ratios are smoothed over the blocks in page order, fused by product,
-    and a block's path is content where the fused ratio reaches a fifth of its mean weighted by text. The content is what stands
-    in the innermost element that holds all selected text, in an article or main element if it is in one; so short
+    All blocks get a fused ratio by their tag path (ratios()). Standing aside is a feature of it: elements that hold
+    menus, headers, footers, sidebars, notices, adverts, forms or comments, by element name, role or being hidden, take
+    BY_TAG of it, by class or id BY_NAME; an element with most of the page's text does not by its class or id. A block is
+    selected where that reaches a fifth of the mean ratio weighted by text. The content is what stands
+    in the innermost element that holds all selected text, in an article or main element if it is in one, but for blocks
+    that stand aside and are not selected; so short
     paragraphs and headings of the article stay. Where selected text stands in several articles, or beside one, each such
     article is content, and so is the text selected beside them, with all its element holds if no article is in that.
+    Text in elements that are never closed is read like other text.
     """
 
     def up(node):
@@ -173,29 +252,19 @@ def main_text(html: str | None) -> str:
             yield node
             node = node.parent
 
-    found = [b for b in blocks(html or "") if not b[0].aside]
-    if beside := _beside(found):
-        found = [b for b in found if beside.isdisjoint(up(b[0]))]
+    found = blocks(html or "")
     if not found:
         return ""
-    size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for node, text, link in found:
-        size[node.path] += max(0, len(text) - link)
-        marks[node.path] += len(MARKS.findall(text))
-        count[node.path] += 1
-    ratios = [(size[b[0].path] / count[b[0].path], (1 + marks[b[0].path]) / count[b[0].path]) for b in found]
-    weights = (0.25, 0.5, 0.25)
-    smooth = []
-    for i in range(len(ratios)):
-        near = [(w, ratios[i + d]) for d, w in zip((-1, 0, 1), weights, strict=True) if 0 <= i + d < len(ratios)]
-        total = sum(w for w, _ in near)
-        smooth.append(tuple(sum(w * r[k] for w, r in near) / total for k in (0, 1)))
-    fused = [a * b for a, b in smooth]
+    beside = _beside([b for b in found if not b[0].aside])
+    weight = [BY_TAG if b[0].aside else BY_NAME if beside and not beside.isdisjoint(up(b[0])) else 1.0 for b in found]
+    fused = ratios(found)
     lengths = [max(0, len(t) - link) for _, t, link in found]
-    level = 0.2 * sum(f * n for f, n in zip(fused, lengths, strict=True)) / max(1, sum(lengths))
-    chosen = [i for i, f in enumerate(fused) if f >= level and 2 * lengths[i] > len(found[i][1])]  # links alone select nothing
+    level = 0.2 * sum(f * n * w for f, n, w in zip(fused, lengths, weight, strict=True)) / max(1.0, sum(n * w for n, w in zip(lengths, weight, strict=True)))
+    # links alone select nothing, nor does text aside alone
+    chosen = [i for i, f in enumerate(fused) if f * weight[i] >= level and 2 * lengths[i] > len(found[i][1])] if max(weight) == 1 else []
     if not chosen:
         return ""
+
     def holder(of: list[Node]) -> Node:
         """The innermost element that holds all of them and can hold several blocks."""
         common = list(up(of[0]))
@@ -215,23 +284,27 @@ def main_text(html: str | None) -> str:
         rest = holder(beside) if beside else None
         if rest is not None and not any(rest in up(n) for n in wraps):
             wraps.add(rest)
-        alone = {i for i in chosen if found[i][0] in beside}
-    return " ".join(t for i, (node, t, _) in enumerate(found) if i in alone or any(n in wraps for n in up(node)))
+        loose = set(beside)
+        alone = {i for i in chosen if found[i][0] in loose}
+    chosen = set(chosen)
+    return " ".join(t for i, (node, t, _) in enumerate(found) if i in alone or (weight[i] == 1 or i in chosen) and any(n in wraps for n in up(node)))
 
 
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages' columns but the html, plus `_main`. Null or empty html has no text; a page of any length is read whole;
+def extract(pages: DataFrame, html_col: str = "html", to: str = "_main") -> DataFrame:
+    """pages' columns but the html, plus `to`, which must be no column yet. Null or empty html has no text; a page of any length is read whole;
     repeated pages stay; an empty table gives an empty table."""
     keep = [c for c in pages.columns if c != html_col]
+    if to in keep:
+        raise ValueError(f"there is a column {to} already")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([main_text(h) for h in b.column(html_col).to_pylist()], pa.string())], names=[*keep, "_main"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([main_text(h) for h in b.column(html_col).to_pylist()], pa.string())], names=[*keep, to])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in keep]
-    return mapped(pages, run, ", ".join([*kinds, "_main string"]))
+    return mapped(pages, run, ", ".join([*kinds, f"`{to}` string"]))
 
 
 def query(spark, pages: DataFrame) -> DataFrame:

@@ -233,3 +233,53 @@ def test_slices_and_digits():
     score, c = bitsliced.score_slices(maps, ~maps, q)
     got = [sum(((int(p[0]) >> r) & 1) << w for w, p in enumerate(score) if p is not None) - c + int(q @ lows) for r in range(3)]
     assert got == (x @ q).tolist()
+
+
+def brute_ratios(found):
+    """The fused ratios by their definition, paths as written-out tag names."""
+    path = lambda n: [*path(n.parent), n.tag] if n is not None else []
+    paths = [tuple(path(n)) for n, _, _ in found]
+    own = []
+    for p in paths:
+        same = [b for b, q in zip(found, paths, strict=True) if q == p]
+        own.append((sum(max(0, len(t) - k) for _, t, k in same) / len(same), (1 + sum(len(html_extract.MARKS.findall(t)) for _, t, _ in same)) / len(same)))
+    out = []
+    for i in range(len(own)):
+        w = {j: 0.5 if j == i else 0.25 for j in (i - 1, i, i + 1) if 0 <= j < len(own)}
+        out.append(float(np.prod([sum(v * own[j][k] for j, v in w.items()) / sum(w.values()) for k in (0, 1)])))
+    return out
+
+
+def test_ratios_of_tag_paths():
+    for html in (PAGE, "<div><p>a, b<p>c</div><div><ul><li><a>x</a><li>y. z</ul><p>d, e, f</div>", "plain"):
+        found = html_extract.blocks(html)
+        assert html_extract.ratios(found) == pytest.approx(brute_ratios(found))
+
+
+def test_main_text_is_chosen_by_ratios(monkeypatch):
+    html = f"<div><p>Menu</p><p>News of all</p></div><div><section><p>{LONG}</p><p>{LONG}</p></section></div><div><span>Terms of use</span></div>".replace("<p>Menu</p><p>News of all</p>", "<span>Menu</span><em>News of all</em>")
+    assert html_extract.main_text(html) == f"{LONG} {LONG}"
+    monkeypatch.setattr(html_extract, "ratios", lambda found: [1.0] * len(found))
+    assert html_extract.main_text(html) != f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>One, two.</p><button>x<p>Two, and more text here.</p>", "One, two. x Two, and more text here."),
+        (f'<article><p>{LONG}</p><p class="related-work">Related work, which is text.</p></article>', f"{LONG} Related work, which is text."),
+        ('<p>See <a href="x>this</a> page, and that.</p>', "See this page, and that."),
+        ("<p>Open, text.</p><svg><p>More, text here.", "Open, text. More, text here."),
+    ],
+)
+def test_what_is_never_closed_loses_nothing(html, text):
+    assert html_extract.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", ["<a b " * 200_000 + '"', '<a b "x> ' * 100_000, "<button>" * 125_000, "<div>" * 200_000, "<" * 500_000, "<!--" * 250_000, "<button></button" * 60_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    began = time.time()
+    html_extract.main_text(html)
+    assert time.time() - began < 20
