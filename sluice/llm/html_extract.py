@@ -216,8 +216,9 @@ def blocks(html: str):
 
 
 def ratios(found) -> list[float]:
-    """The fused ratio of each block: text outside links, and punctuation, are summed per root-to-leaf tag path and divided
-    by the path's blocks; both are smoothed over the blocks in page order and multiplied."""
+    """The fused ratio of each block's path: text outside links, and punctuation, are summed per root-to-leaf tag path and
+    divided by the path's blocks; both are smoothed over the blocks in page order and multiplied; a path has the mean of
+    its blocks."""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, text, link in found:
         size[node.path] += max(0, len(text) - link)
@@ -230,7 +231,10 @@ def ratios(found) -> list[float]:
         total = sum(w for w, _ in near)
         a, b = (sum(w * r[k] for w, r in near) / total for k in (0, 1))
         out.append(a * b)
-    return out
+    total = defaultdict(float)
+    for b, f in zip(found, out, strict=True):
+        total[b[0].path] += f
+    return [total[b[0].path] / count[b[0].path] for b in found]
 
 
 def main_text(html: str | None) -> str:

@@ -247,7 +247,7 @@ def brute_ratios(found):
     for i in range(len(own)):
         w = {j: 0.5 if j == i else 0.25 for j in (i - 1, i, i + 1) if 0 <= j < len(own)}
         out.append(float(np.prod([sum(v * own[j][k] for j, v in w.items()) / sum(w.values()) for k in (0, 1)])))
-    return out
+    return [np.mean([o for o, q in zip(out, paths, strict=True) if q == p]) for p in paths]
 
 
 def test_ratios_of_tag_paths():
@@ -257,10 +257,10 @@ def test_ratios_of_tag_paths():
 
 
 def test_main_text_is_chosen_by_ratios(monkeypatch):
-    html = f"<div><p>Menu</p><p>News of all</p></div><div><section><p>{LONG}</p><p>{LONG}</p></section></div><div><span>Terms of use</span></div>".replace("<p>Menu</p><p>News of all</p>", "<span>Menu</span><em>News of all</em>")
-    assert html_extract.main_text(html) == f"{LONG} {LONG}"
+    html = f"<div><p>Menu of all<p>News of the day<p>More of it</div><div><section>{f'<p>{LONG} {LONG}</p>' * 3}</section></div><div><p>Terms of use<p>Help</div>"
+    assert html_extract.main_text(html) == " ".join([LONG] * 6)
     monkeypatch.setattr(html_extract, "ratios", lambda found: [1.0] * len(found))
-    assert html_extract.main_text(html) != f"{LONG} {LONG}"
+    assert html_extract.main_text(html) != " ".join([LONG] * 6)
 
 
 @pytest.mark.parametrize(
