@@ -69,6 +69,16 @@ CASTS = {
 }
 
 
+def as_text(x: str) -> str:
+    """x as text: TRUE and FALSE, RFC 3339 times, POINT(x, y); all else as Spark casts it. typeof() is folded in planning."""
+    plain = f"CAST({x} AS STRING)"
+    if re.fullmatch(r"'(?:[^']|'')*'|[\d.]+", x):
+        return plain
+    time = f"date_format(try_cast({plain} AS TIMESTAMP_NTZ), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+    time = f"concat(regexp_replace(regexp_replace({time}, '[.]000000$', ''), '([.][0-9]{{3}})000$', '$1'), '+00:00')"
+    return f"CASE WHEN typeof({x}) = 'boolean' THEN upper({plain}) WHEN typeof({x}) LIKE 'timestamp%' THEN {time} WHEN typeof({x}) = 'struct<x:double,y:double>' THEN concat('POINT(', substr({plain}, 2, length({plain}) - 2), ')') ELSE {plain} END"
+
+
 def cast(x: str, to: str, compat: bool) -> str:
     """CAST(x AS to). A number is true if above 0; an integer is a duration in nanoseconds; a text is parsed as JSON, or
     is a JSON string if it can't be. In compat mode NULL becomes 0, false or ''."""
@@ -86,7 +96,7 @@ def cast(x: str, to: str, compat: bool) -> str:
     if name not in CASTS:
         raise UnsupportedExpression(f"CAST to {to}")
     kind = CASTS[name] if name not in ("DECIMAL", "NUMERIC") or not size else f"DECIMAL({size}"
-    out = f"CAST({x} AS {kind})"
+    out = f"({as_text(x)})" if kind == "STRING" else f"CAST({x} AS {kind})"
     zero = "''" if kind == "STRING" else "0" if kind not in ("TIMESTAMP", "DATE", "BINARY") else None
     return f"coalesce({out}, CAST({zero} AS {kind}))" if compat and zero else out
 
@@ -154,11 +164,24 @@ def _count(a, compat):
     return "count(1)" if a == ["*"] or (compat and not a[0].upper().startswith("DISTINCT")) else f"count({', '.join(a)})"
 
 
+def _json(a, query: bool) -> str:
+    """JSON_VALUE or JSON_QUERY. Plain paths, of names and places alone, stay on the JVM; filters, wildcards and slices
+    take sluice.functions.python."""
+    j, path = a[0], a[1] if len(a) > 1 else "'$'"
+    if not re.fullmatch(r"'\$(?:\.[A-Za-z_]\w*|\[\d+\])*'", path.strip()):
+        return f"sluice_json_{'query' if query else 'value'}({j}, {path})"
+    text = f"CAST({j} AS STRING)"
+    found = f"to_json(try_variant_get(try_parse_json({text}), {path}, 'variant'))"
+    nested = f"left({found}, 1) IN ('{{', '[')"
+    got = f"CASE WHEN {nested} THEN get_json_object({text}, {path}) ELSE 'null' END" if query else f"CASE WHEN {nested} THEN 'null' ELSE coalesce({found}, 'null') END"
+    return f"(CASE WHEN try_parse_json({text}) IS NOT NULL THEN {got} END)"
+
+
 PLAIN = {
     "abs": lambda a: f"abs({a[0]})",
     "round": _round,
     "ucase": lambda a: f"upper({a[0]})",
-    "concat": lambda a: f"concat_ws('', {', '.join(a)})" if a else "''",
+    "concat": lambda a: f"concat_ws('', {', '.join(map(as_text, a))})" if a else "''",
     "length": lambda a: f"CAST(octet_length(CAST({a[0]} AS STRING)) AS BIGINT)",
     "chr": _chr,
     "substr": _substr,
@@ -173,8 +196,8 @@ PLAIN = {
     "now": lambda a: "current_timestamp()",
     "point": _point,
     "distance": _distance,
-    "json_value": lambda a: f"sluice_json_value({a[0]}, {a[1]})",
-    "json_query": lambda a: f"sluice_json_query({a[0]}, {a[1] if len(a) > 1 else chr(39) + '$' + chr(39)})",
+    "json_value": lambda a: _json([*a[:1], a[1]], False),
+    "json_query": lambda a: _json(a, True),
 }
 AGGREGATES = {
     "count": _count,

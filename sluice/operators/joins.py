@@ -31,10 +31,21 @@ def alive_together(left: DataFrame, right: DataFrame, prefix: str = "_ttl") -> C
     return (l_ref < r_ref + r_dur) & (r_ref < l_ref + l_dur)
 
 
-def ttl_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner", prefix: str = "_ttl") -> DataFrame:
+def ttl_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str = "inner", prefix: str = "_ttl", longest: str | None = None) -> DataFrame:
     """Rows with equal keys, each of which came while the other was alive. On streams with watermarks on the
-    references, the same condition lets Spark drop state: a row is kept no longer than its lifetime."""
+    references, the same condition lets Spark drop state: a row is kept no longer than its lifetime.
+
+    `longest` (as '5 MINUTES') says that no lifetime is longer. Rows then meet by key and bin of time of that size, the
+    right ones in three bins each, so that the work of a key follows the rows that are near and not its whole history."""
     names = {f"{prefix}_{k}": f"{prefix}_right_{k}" for k in ("ref", "dur")}
     right = right.withColumnsRenamed(names)
     keys = reduce(Column.__and__, (left[a].eqNullSafe(right[b]) for a, b in on))
-    return left.join(right, keys & alive_together(left, right, prefix), how).drop(*names.values())
+    on_time = alive_together(left, right, prefix)
+    if longest is None or how == "right":
+        return left.join(right, keys & on_time, how).drop(*names.values())
+    width = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {longest})")
+    bins = lambda ref: F.floor(F.unix_micros(ref) / width)
+    at = bins(right[f"{prefix}_right_ref"])
+    binned = right.withColumn(f"{prefix}_bin", F.explode(F.sequence(at - 1, at + 1)))
+    on = reduce(Column.__and__, (left[a].eqNullSafe(binned[b]) for a, b in on))
+    return left.join(binned, on & (bins(left[f"{prefix}_ref"]) == binned[f"{prefix}_bin"]) & alive_together(left, binned, prefix), how).drop(*names.values(), f"{prefix}_bin")

@@ -27,15 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @functools.cache
-def _engine(spark: SparkSession) -> Engine:
-    engine = Engine(spark)
+def _engine(spark: SparkSession, compat: bool = False) -> Engine:
+    engine = Engine(spark, compat=compat)
     engine.function("py_add", lambda a: a + 2)
     engine.function("py_sum", lambda a, b: a + b)
     return engine
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    engine = _engine(spark)
+def run_sql(spark: SparkSession, sf_dir: str, sql: str, compat: bool = False) -> DataFrame:
+    engine = _engine(spark, compat)
     for name in TABLES:
         if name in sql:
             engine.table(name, table(spark, sf_dir, name))
@@ -81,6 +81,14 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
     "cast_matrix": ("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS i, CAST(l_linenumber AS FLOAT) AS f, CAST(l_orderkey AS STRING) AS s, CAST(l_quantity AS DECIMAL(18,2)) AS d, CAST(l_tax AS BOOLEAN) AS b, CAST(l_shipdate AS DATE) AS dt, CAST(l_linenumber AS UINT) AS u FROM lineitem", "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS i, l_linenumber::DOUBLE AS f, l_orderkey::VARCHAR AS s, l_quantity::DECIMAL(18,2) AS d, l_tax > 0 AS b, l_shipdate::DATE AS dt, l_linenumber::DECIMAL(20,0) AS u FROM lineitem"),
     "json_value": ("SELECT event_id, JSON_VALUE(props, '$.k') AS v, JSON_VALUE(props, '$.none') AS n FROM events", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS v, 'null' AS n FROM events"),
     "json_query": ("SELECT event_id, JSON_QUERY(props) AS v, JSON_QUERY(props, '$.k') AS n FROM events", "SELECT event_id, json(props)::VARCHAR AS v, 'null' AS n FROM events"),
+    "json_paths": (
+        "SELECT q.event_id, JSON_VALUE(q.j, '$.a.b[1]') AS v, JSON_VALUE(q.j, '$.a') AS o, JSON_VALUE(q.j, '$.s') AS s, JSON_QUERY(q.j, '$.a') AS a, JSON_QUERY(q.j, '$.a.b') AS b, JSON_QUERY(q.j, '$.a.b[*]') AS w FROM (SELECT event_id, CONCAT('{\"s\":\"', event_type, '\",\"a\":{\"b\":[1,', event_id, ']}}') AS j FROM events) q",
+        "SELECT event_id, event_id::VARCHAR AS v, 'null' AS o, '\"' || event_type || '\"' AS s, '{\"b\":[1,' || event_id || ']}' AS a, '[1,' || event_id || ']' AS b, '[1,' || event_id || ']' AS w FROM events",
+    ),
+    "cast_text": (
+        "SELECT q.event_id, CAST(q.b AS STRING) AS b, CONCAT(q.b, ' ', q.event_id) AS c, CAST(q.t AS STRING) AS t FROM (SELECT event_id, event_id % 2 = 0 AS b, CAST('2024-02-03 04:05:06.120' AS TIMESTAMP) AS t FROM events) q",
+        "SELECT event_id, upper((event_id % 2 = 0)::VARCHAR) AS b, upper((event_id % 2 = 0)::VARCHAR) || ' ' || event_id AS c, '2024-02-03T04:05:06.120+00:00' AS t FROM events",
+    ),
     "geo_point": ("SELECT q.c_custkey, q.p.x AS x, q.p.y AS y FROM (SELECT c_custkey, POINT(c_custkey % 180, c_nationkey) AS p FROM customer) q", "SELECT c_custkey, (c_custkey % 180)::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer"),
     "geo_haversine": (
         "SELECT q.c_custkey, ROUND(DISTANCE(q.p, q.o, 'HAVERSINE'), 3) AS m FROM (SELECT c_custkey, POINT(c_custkey % 180, c_nationkey) AS p, POINT(10, 20) AS o FROM customer) q",
@@ -143,6 +151,17 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
 }
 
 
+_TOXIC = "documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
+#: As SCRIPTS, of an engine in compat mode.
+COMPAT: dict[str, tuple[str, str]] = {
+    "compat_aggregates": (f"SELECT d.source, COUNT(l.toxic) AS n, SUM(l.toxic) AS s, ROUND(AVG(l.toxic), 6) AS a FROM {_TOXIC} GROUP BY d.source", f"SELECT d.source, count(*) AS n, coalesce(sum(l.toxic), 0) AS s, round(sum(coalesce(l.toxic, 0)) / count(*), 6) AS a FROM {_TOXIC} GROUP BY d.source"),
+    "compat_cast_null": (f"SELECT d.doc_id, CAST(l.toxic AS INT) AS i, CAST(l.toxic AS STRING) AS s, CAST(l.toxic AS BOOLEAN) AS b FROM {_TOXIC}", f"SELECT d.doc_id, coalesce(l.toxic, 0)::BIGINT AS i, coalesce(l.toxic::VARCHAR, '') AS s, coalesce(l.toxic > 0, false) AS b FROM {_TOXIC}"),
+    "compat_in_null": (f"SELECT d.doc_id FROM {_TOXIC} WHERE l.toxic IN (1, NULL)", f"SELECT d.doc_id FROM {_TOXIC} WHERE l.toxic = 1 OR l.toxic IS NULL"),
+    "compat_and_null": (f"SELECT d.doc_id FROM {_TOXIC} WHERE NOT (l.toxic = 0 AND d.doc_id > 5)", f"SELECT d.doc_id FROM {_TOXIC} WHERE NOT (coalesce(l.toxic = 0, false) AND d.doc_id > 5)"),
+    "compat_hop": ("SELECT window_start, COUNT(*) AS n FROM HOP(events, ts, '2 MINUTES', '5 MINUTES') GROUP BY window_start", "SELECT time_bucket(INTERVAL 2 MINUTE, ts, TIMESTAMP '1970-01-01') - INTERVAL 3 MINUTE + INTERVAL (2 * k) MINUTE AS window_start, count(*) AS n FROM events, generate_series(0, 2) AS g(k) GROUP BY ALL"),
+}
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change log of users from events: each event inserts its user's row, updates it or, for every 7th, deletes it."""
     e = table(spark, sf_dir, "events")
@@ -194,7 +213,7 @@ def df_join_null_safe(spark, sf_dir):
 def df_join_ttl(spark, sf_dir):
     e = joins.with_lifetime(table(spark, sf_dir, "events"), "ts", "5 MINUTES")
     a, b = (e.select(F.col("event_id").alias(f"{k}_id"), F.col("user_id").alias(f"{k}_user"), "_ttl_ref", "_ttl_dur") for k in "ab")
-    return joins.ttl_join(a, b, [("a_user", "b_user")]).select("a_id", "b_id")
+    return joins.ttl_join(a, b, [("a_user", "b_user")], longest="5 MINUTES").select("a_id", "b_id")
 
 
 def hop_compat(spark, sf_dir):
@@ -274,5 +293,5 @@ FRAMES = {
     "stream_retract_agg": (stream_retract_agg, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 3 <> 0 GROUP BY event_type"),
 }
 
-QUERIES = {name: (lambda sql: lambda spark, sf_dir: run_sql(spark, sf_dir, sql))(sql) for name, (sql, _) in SCRIPTS.items()} | {name: f for name, (f, _) in FRAMES.items()}
-ORACLES = {name: twin or sql for name, (sql, twin) in SCRIPTS.items()} | {name: twin for name, (_, twin) in FRAMES.items()}
+QUERIES = {name: (lambda sql: lambda spark, sf_dir: run_sql(spark, sf_dir, sql))(sql) for name, (sql, _) in SCRIPTS.items()} | {name: functools.partial(run_sql, sql=sql, compat=True) for name, (sql, _) in COMPAT.items()} | {name: f for name, (f, _) in FRAMES.items()}
+ORACLES = {name: twin or sql for name, (sql, twin) in SCRIPTS.items()} | {name: twin for name, (_, twin) in (COMPAT | FRAMES).items()}

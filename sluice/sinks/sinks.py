@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +93,8 @@ def jdbc_writer(url: str, table: str, collapsing: bool = True, replication: Repl
 
 
 class Upsert:
-    """A table kept by key from signed rows, one folder a version; a batch that comes again changes nothing.
+    """A table kept by key from signed rows, one folder a version, of which the last two stay; a batch that comes again
+    changes nothing, in a new process neither.
 
     on_insert, on_update and on_delete say what to do where a row is or isn't there: 'nothing', 'update' or 'panic'.
     """
@@ -100,7 +102,20 @@ class Upsert:
     def __init__(self, spark: SparkSession, path: str, key: list[str], on_insert: str = "update", on_update: str = "update", on_delete: str = "nothing"):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.policy = {"insert": on_insert, "update": on_update, "delete": on_delete}
-        self.version: int | None = None
+        self.version = max(self._versions(), default=None)  # a new process goes on where the last one stopped
+
+    def _folder(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        """The versions under path that were written to their end."""
+        path, fs = self._folder()
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+        done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
+        return [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and done(n)]
 
     def table(self) -> DataFrame | None:
         return None if self.version is None else self.spark.read.parquet(f"{self.path}/v{self.version}")
@@ -129,3 +144,6 @@ class Upsert:
             new = now.join(last.select(*self.key), self.key, "left_anti").select(*row).unionByName(new.select(*row))
         new.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
         self.version = batch
+        path, fs = self._folder()
+        for old in sorted(self._versions())[:-2]:  # readers of the one before may still be at work
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
