@@ -38,7 +38,7 @@ REACH = 1 << 16
 #: Elements that are open within each other, at most.
 DEPTH = 512
 #: What standing aside by the element's name, role or being hidden, and by class or id, does to a block's fused ratio.
-BY_TAG, BY_NAME = 0.02, 0.05
+BY_TAG, BY_NAME = 0.02, 0.02
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 MARKS = re.compile(r"[.,;:!?…。、，；：！？]")
 
