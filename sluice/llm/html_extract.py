@@ -38,7 +38,7 @@ REACH = 1 << 16
 #: Elements that are open within each other, at most.
 DEPTH = 512
 #: What standing aside by the element's name, role or being hidden, and by class or id, does to a block's fused ratio.
-BY_TAG, BY_NAME = 0.02, 0.02
+BY_TAG, BY_NAME = 0.005, 0.005
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 MARKS = re.compile(r"[.,;:!?…。、，；：！？]")
 
@@ -217,14 +217,14 @@ def blocks(html: str):
 
 def ratios(found) -> list[float]:
     """The fused ratio of each block's path: text outside links, and punctuation, are summed per root-to-leaf tag path and
-    divided by the path's blocks; both are smoothed over the blocks in page order and multiplied; a path has the mean of
+    divided by the path's blocks, punctuation plus one; both are smoothed over the blocks in page order and multiplied; a path has the mean of
     its blocks."""
     size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for node, text, link in found:
         size[node.path] += max(0, len(text) - link)
         marks[node.path] += len(MARKS.findall(text))
         count[node.path] += 1
-    own = [(size[b[0].path] / count[b[0].path], (1 + marks[b[0].path]) / count[b[0].path]) for b in found]
+    own = [(size[b[0].path] / count[b[0].path], 1 + marks[b[0].path] / count[b[0].path]) for b in found]
     out = []
     for i in range(len(own)):
         near = [(w, own[i + d]) for d, w in zip((-1, 0, 1), (0.25, 0.5, 0.25), strict=True) if 0 <= i + d < len(own)]

@@ -242,7 +242,7 @@ def brute_ratios(found):
     own = []
     for p in paths:
         same = [b for b, q in zip(found, paths, strict=True) if q == p]
-        own.append((sum(max(0, len(t) - k) for _, t, k in same) / len(same), (1 + sum(len(html_extract.MARKS.findall(t)) for _, t, _ in same)) / len(same)))
+        own.append((sum(max(0, len(t) - k) for _, t, k in same) / len(same), 1 + sum(len(html_extract.MARKS.findall(t)) for _, t, _ in same) / len(same)))
     out = []
     for i in range(len(own)):
         w = {j: 0.5 if j == i else 0.25 for j in (i - 1, i, i + 1) if 0 <= j < len(own)}
