@@ -246,7 +246,12 @@ def _removed(spark, path: str) -> None:
 
 def _scratch(spark) -> str:
     """A folder for a stream's checkpoint and output, in the shared folder; it goes when Python exits."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.gettempdir()
     path = os.path.join(base, f"sluice-stream-{os.urandom(6).hex()}")
     atexit.register(_removed, spark, path)
     return path

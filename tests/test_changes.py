@@ -195,3 +195,18 @@ def test_arrow_landing_files(spark, tmp_path):
         w.write_batch(batch)
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
     assert got(messages.landed_arrow(spark, str(tmp_path), kind)) == [(1, "a"), (2, None)]
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame(rows, "k int, v string, _sign int, _seq long")
+
+    path = str(tmp_path / "table")
+    sinks.Upsert(spark, path, ["k"])(batch((1, "a", 1, 1), (2, "b", 1, 2)), 0)
+    again = sinks.Upsert(spark, path, ["k"])
+    again(batch((9, "no", 1, 3)), 0)  # the batch that was taken comes again
+    again(batch((3, "c", 1, 4), (1, "a", -1, 5)), 1)
+    last = sinks.Upsert(spark, path, ["k"])
+    last(batch((2, "b", -1, 6), (2, "B", 1, 7)), 2)
+    assert sorted(map(tuple, last.table().collect())) == [(2, "B"), (3, "c")]
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.is_dir()) == ["v1", "v2"]
