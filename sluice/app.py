@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.engine import Engine
 from sluice.errors import ConfigError, ContractError
 from sluice.sinks import sinks as out
+from sluice.operators import changelog
 from sluice.sources import external, files, messages
+from sluice.streaming.follow import Feed, Follower
 from sluice.types import Schema
 
 
@@ -82,6 +84,12 @@ def load(text: str, overrides: dict[str, object] | None = None) -> Config:
     return Config(raw.get("version", 1), raw.get("app_name", ""), raw.get("home_dir", ".sluice"), connections, sources, sinks, raw.get("sql") or "", raw.get("udfs") or [], raw.get("flags") or {}, raw.get("app") or {})
 
 
+def _table(sink: dict) -> str:
+    """The name of the table that a sink takes."""
+    v = sink["config"].value if isinstance(sink["config"].value, dict) else {}
+    return v.get("table_name") or sink["table_name"]
+
+
 class App:
     def __init__(self, spark: SparkSession, config: Config):
         self.spark, self.config = spark, config
@@ -92,43 +100,75 @@ class App:
             kind = u["config"]
             self.engine.udf(u["name"], models.onnx(kind.value["path"]) if kind.tag == "Onnx" else models.json_function(kind.value["module"]))
 
-    def _source(self, s: dict) -> DataFrame:
+    def _files(self, s: dict) -> tuple[str, str, dict]:
+        """Folder, kind and options of a table of files."""
         c, name = self.config.connections[s["connection"]], s.get("table_name") or s["name"]
-        v = c.value if isinstance(c.value, dict) else {}
-        columns = s.get("columns") or None
-        if c.tag in ("LocalStorage", "S3Storage"):
-            details = v["details"]
-            root = details["path"] if c.tag == "LocalStorage" else f"s3a://{details['bucket_name']}"
-            own = next((t for t in v["tables"] if t["name"] == name), None)
-            if own is None:
-                raise ConfigError(f"no table {name} in connection {s['connection']}")
-            kind = own["config"].tag.lower()
-            o = own["config"].value
-            return files.read(self.spark, os.path.join(root, o.get("path", "")), {"csv": "csv", "parquet": "parquet", "delta": "delta"}[kind], columns, extension=o.get("extension"), marker=o.get("marker_extension"))
+        own = next((t for t in c.value["tables"] if t["name"] == name), None)
+        if own is None:
+            raise ConfigError(f"no table {name} in connection {s['connection']}")
         if c.tag == "DeltaLake":
-            own = next(t for t in v["tables"] if t["name"] == name)
-            return files.read(self.spark, own["path"], "delta", columns)
+            return own["path"], "delta", {}
+        details, o = c.value["details"], own["config"].value
+        root = details["path"] if c.tag == "LocalStorage" else f"s3a://{details['bucket_name']}"
+        return os.path.join(root, o.get("path", "")), own["config"].tag.lower(), o
+
+    def _changes(self, s: dict, streaming: bool) -> tuple[DataFrame, list[str] | None] | None:
+        """The change log of a source that has one, and its key."""
+        c, name = self.config.connections[s["connection"]], s.get("table_name") or s["name"]
+        v = c.value if isinstance(c.value, dict) else {}
         if c.tag in ("Webhook", "Grpc"):
             schema = Schema.from_json(v["schemas"][name])
-            return messages.as_table(messages.landed(self.spark, os.path.join(v["landing"], name), schema.fields), schema.key_names)
+            return messages.landed(self.spark, os.path.join(v["landing"], name), schema.fields, streaming), schema.key_names
+        if c.tag == "Kafka":
+            read = messages.kafka(self.spark, v["broker"], name, streaming=streaming)
+            own = (v.get("topics") or {}).get(name) or {}
+            if own.get("debezium"):  # the fields of the envelope's rows
+                return messages.debezium(read, own["debezium"]), own.get("key")
+            if own.get("schema"):
+                return messages.typed(read, Schema.from_json({"schema": own["schema"]}).fields), None
+            return messages.plain(read), None
+        return None
+
+    def _source(self, s: dict) -> DataFrame:
+        c, name = self.config.connections[s["connection"]], s.get("table_name") or s["name"]
+        v = c.value if isinstance(c.value, dict) else {}
+        columns = s.get("columns") or None
+        if c.tag in ("LocalStorage", "S3Storage", "DeltaLake"):
+            path, kind, o = self._files(s)
+            return files.read(self.spark, path, kind, columns, extension=o.get("extension"), marker=o.get("marker_extension"))
+        if found := self._changes(s, streaming=False):
+            return messages.as_table(*found)
         if c.tag in ("Postgres", "MySQL"):
             return external.jdbc(self.spark, v["url"], name, **{k: str(x) for k, x in (v.get("options") or {}).items()})
-        if c.tag == "Kafka":
-            return messages.plain(messages.kafka(self.spark, v["broker"], name, streaming=False)).select("new.*")
         if c.tag in ("MongoDB", "Snowflake"):
             return external.package(self.spark, c.tag.lower(), **{k: str(x) for k, x in v.items()})
         raise ConfigError(f"{c.tag} is not built")
 
+    def _feed(self, s: dict) -> Feed:
+        """A source as follow() takes it: message logs and folders of files as streams, all else as one snapshot."""
+        if found := self._changes(s, streaming=True):
+            return Feed(*found)
+        if self.config.connections[s["connection"]].tag in ("LocalStorage", "S3Storage"):
+            path, kind, o = self._files(s)
+            if kind in ("csv", "parquet"):
+                if marker := o.get("marker_extension"):
+                    schema = self._source(s).schema
+                    return Feed(files.Marked(self.spark, path, schema, kind, o.get("extension") or f".{kind}", marker, f"{self.home}/given/{s['name']}"))
+                schema = files.read(self.spark, path, kind, extension=o.get("extension")).schema
+                return Feed(changelog.inserts(files.stream(self.spark, path, schema, kind, s.get("columns") or None, o.get("extension"))))
+        return Feed(changelog.inserts(self._source(s)))
+
     def list_tables(self) -> dict[str, dict]:
         """The sources by name and their schemas, as their connections give them; no data is read beyond that."""
         return {s["name"]: Schema(self._source(s).schema).to_json() for s in self.config.sources}
 
-    def plan(self) -> dict[str, DataFrame]:
-        """The output tables. Each sink's table is an output or a source; each output has a sink."""
+    def plan(self, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+        """The output tables. Each sink's table is an output or a source; each output has a sink. `tables` has the sources
+        as they are; else they are read."""
         for s in self.config.sources:
-            self.engine.table(s["name"], self._source(s))
+            self.engine.table(s["name"], self._source(s) if tables is None else tables[s["name"]])
         made = self.engine.run(self.config.sql) if self.config.sql.strip() else {}
-        used = {s["table_name"] for s in self.config.sinks if "table_name" in s} | {s["config"].value["table_name"] for s in self.config.sinks if isinstance(s["config"].value, dict) and "table_name" in s["config"].value}
+        used = {_table(s) for s in self.config.sinks}
         if lost := set(made) - used:
             raise ConfigError(f"no sink for {', '.join(sorted(lost))}")
         known = {s["name"] for s in self.config.sources}
@@ -158,7 +198,7 @@ class App:
         for s in self.config.sinks:
             kind = s["config"]
             v = kind.value if isinstance(kind.value, dict) else {}
-            df = tables[v.get("table_name") or s["table_name"]]
+            df = tables[_table(s)]
             name = s.get("name") or v.get("table_name")
             if kind.tag == "Dummy":
                 sink = out.Dummy()
@@ -179,6 +219,40 @@ class App:
                 raise ConfigError(f"{kind.tag} is not built")
         return done
 
+    @property
+    def home(self) -> str:
+        """Where follow() keeps its tables; on a cluster home_dir must be a folder that executors share."""
+        return f"{self.config.home_dir}/follow"
+
+    def _writer(self, s: dict):
+        """A sink as follow() writes it, and what run() would return for it. Parquet with `key` is a table kept by key;
+        without, the signed rows of each epoch."""
+        kind = s["config"]
+        v = kind.value if isinstance(kind.value, dict) else {}
+        name = s.get("name") or v.get("table_name")
+        if kind.tag == "Dummy":
+            sink = out.Dummy()
+            return (lambda changes, result, epoch: sink(changes, epoch)), sink
+        if kind.tag == "Parquet" and v.get("key"):
+            sink = out.Upsert(self.spark, v["path"], v["key"], **{f"on_{k}": p for k, p in (v.get("conflicts") or {}).items()})
+            return (lambda changes, result, epoch: sink(changes, epoch)), sink
+        if kind.tag == "Parquet":
+            return (lambda changes, result, epoch: changes.write.mode("overwrite").parquet(f"{v['path']}/epoch={epoch}")), v["path"]
+        if kind.tag == "Memory":
+            view = v.get("view") or name
+            return (lambda changes, result, epoch: result.createOrReplaceTempView(view)), view
+        if kind.tag == "Clickhouse":
+            write = out.jdbc_writer(v["database_url"], v["sink_table_name"], replication=out.Replication(self.spark, f"{self.home}/replication", name))
+            return (lambda changes, result, epoch: write(changes, epoch)), v["sink_table_name"]
+        raise ConfigError(f"{kind.tag} is not built")
+
+    def follow(self) -> tuple[Follower, dict[str, object]]:
+        """A Follower of the application, to step() or run(), and its sinks by name. It goes on where the last one stopped."""
+        made = [(s, self._writer(s)) for s in self.config.sinks]
+        feeds = {s["name"]: self._feed(s) for s in self.config.sources}
+        follower = Follower(self.spark, self.home, feeds, self.plan, [(_table(s), write) for s, (write, _) in made])
+        return follower, {s.get("name") or _table(s): sink for s, (_, sink) in made}
+
     def clean(self) -> None:
         shutil.rmtree(self.config.home_dir, ignore_errors=True)
 
@@ -189,6 +263,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("-c", "--config", default="sluice.yaml")
     p.add_argument("--config-overrides", action="append", default=[], metavar="/POINTER=JSON")
     p.add_argument("--locked", action="store_true")
+    p.add_argument("--follow", action="store_true", help="run: go on with what comes, until stopped")
     a = p.parse_args(args)
     with sys.stdin if a.config == "-" else open(a.config) as f:
         config = load(f.read(), {k: json.loads(v) for k, v in (o.split("=", 1) for o in a.config_overrides)})
@@ -198,6 +273,8 @@ def main(args: list[str] | None = None) -> int:
     app = App(SparkSession.builder.appName(config.app_name or "sluice").getOrCreate(), config)
     if a.command == "build":
         app.build(a.locked)
+    elif a.follow:
+        app.follow()[0].run()
     else:
         app.run()
     return 0

@@ -71,9 +71,10 @@ def with_old_images(changes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def inserts(rows: DataFrame, seq: str | None = None) -> DataFrame:
-    """A table as a change log of insertions, in the order of column seq if there is one."""
+    """A table or a stream of rows as a change log of insertions, in the order of column seq if there is one; a stream
+    without it has no order."""
     kind = rows.schema
-    order = F.col(seq).cast("long") if seq else F.monotonically_increasing_id()
+    order = F.col(seq).cast("long") if seq else F.lit(0).cast("long") if rows.isStreaming else F.monotonically_increasing_id()
     return rows.select(F.lit("I").alias("_op"), order.alias("_seq"), F.lit(None).cast(kind).alias("old"), F.struct(*rows.columns).alias("new"))
 
 
