@@ -177,6 +177,12 @@ def _json(a, query: bool) -> str:
     return f"(CASE WHEN try_parse_json({text}) IS NOT NULL THEN {got} END)"
 
 
+def _by(f: str, a: list[str]) -> str:
+    """The value a[1] where a[0] is largest or smallest; among equals that whose text is, so the order of rows tells nothing."""
+    _need(a, 2)
+    return f"{f}({a[1]}, CASE WHEN {a[0]} IS NOT NULL THEN struct({a[0]}, CAST({a[1]} AS STRING)) END)"
+
+
 PLAIN = {
     "abs": lambda a: f"abs({a[0]})",
     "round": _round,
@@ -207,6 +213,6 @@ AGGREGATES = {
     "max": lambda a, compat: f"max({a[0]})",
     "min_append_only": lambda a, compat: f"min({a[0]})",
     "max_append_only": lambda a, compat: f"max({a[0]})",
-    "min_value": lambda a, compat: f"min_by({a[1]}, {a[0]})",
-    "max_value": lambda a, compat: f"max_by({a[1]}, {a[0]})",
+    "min_value": lambda a, compat: _by("min_by", a),
+    "max_value": lambda a, compat: _by("max_by", a),
 }

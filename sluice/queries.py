@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from sluice.engine import Engine
 from sluice.operators import aggregates, changelog, joins, sets, windows
-from sluice.streaming import view
+from sluice.sinks.sinks import Upsert
+from sluice.streaming import follow, view
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "conversations"]
 
@@ -112,6 +113,10 @@ SCRIPTS: dict[str, tuple[str, str | None]] = {
     "agg_append_only": ("SELECT p_brand, MAX_APPEND_ONLY(p_size) AS hi, MIN_APPEND_ONLY(p_size) AS lo FROM part GROUP BY p_brand", "SELECT p_brand, max(p_size) AS hi, min(p_size) AS lo FROM part GROUP BY p_brand"),
     "agg_max_value": ("SELECT user_id, MAX_VALUE(event_id, event_type) AS latest FROM events GROUP BY user_id", "SELECT user_id, arg_max(event_type, event_id) AS latest FROM events GROUP BY user_id"),
     "agg_min_value": ("SELECT user_id, MIN_VALUE(event_id, event_type) AS earliest FROM events GROUP BY user_id", "SELECT user_id, arg_min(event_type, event_id) AS earliest FROM events GROUP BY user_id"),
+    "agg_value_ties": (
+        "SELECT o_custkey, MAX_VALUE(o_orderpriority, o_orderstatus) AS hi, MIN_VALUE(o_orderpriority, o_orderstatus) AS lo FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, arg_max(o_orderstatus, o_orderpriority || o_orderstatus) AS hi, arg_min(o_orderstatus, o_orderpriority || o_orderstatus) AS lo FROM orders GROUP BY o_custkey",
+    ),
     "agg_last_turn": ("SELECT conv_id, MAX_VALUE(turn, role) AS last_role FROM conversations GROUP BY conv_id", "SELECT conv_id, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id"),
     "select_distinct": ("SELECT DISTINCT o_orderstatus FROM orders", None),
     "join_inner": ("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey", None),
@@ -283,7 +288,28 @@ def stream_retract_agg(spark, sf_dir):
     return out.groupBy("event_type").agg(F.sum(F.col("n") * F.col("_sign")).alias("n"), F.round(F.sum(F.col("total") * F.col("_sign")), 4).alias("total"))
 
 
+def app_follow_restart(spark, sf_dir):
+    """A script over the change log of users, in two epochs by two processes' Followers, into a table kept by key."""
+    home = _scratch(spark)
+    changes = _changes(spark, sf_dir)
+    half = changes.agg(F.percentile_approx("_seq", 0.5, 100)).first()[0] or 0
+    kind = changes.schema["new"].dataType
+    engine = _engine(spark)
+
+    def plan(tables):
+        engine.table("followed_users", tables["users"])
+        return engine.run("SELECT event_type, COUNT(*) AS n, MAX(value) AS hi INTO kinds FROM followed_users GROUP BY event_type")
+
+    for part in (F.col("_seq") <= half, F.col("_seq") > half):
+        changes.where(part).write.mode("append").parquet(f"{home}/landed")
+        stream = spark.readStream.schema(changelog.schema(kind)).parquet(f"{home}/landed")
+        kept = Upsert(spark, f"{home}/kinds", ["event_type"])
+        follow.Follower(spark, f"{home}/follow", {"users": follow.Feed(stream, ["user_id"])}, plan, [("kinds", lambda rows, _, epoch, kept=kept: kept(rows, epoch))]).step()
+    return kept.table()
+
+
 FRAMES = {
+    "app_follow_restart": (app_follow_restart, f"SELECT event_type, count(*) AS n, max(value) AS hi FROM ({_FOLDED}) GROUP BY event_type"),
     "changelog_fold": (changelog_fold, _FOLDED),
     "changelog_incremental_agg": (changelog_incremental_agg, f"SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM ({_FOLDED}) GROUP BY event_type"),
     "changelog_min_max": (changelog_min_max, f"SELECT event_type, min(value) AS lo, max(value) AS hi FROM ({_FOLDED}) GROUP BY event_type"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,10 @@ class Upsert:
     def table(self) -> DataFrame | None:
         return None if self.version is None else self.spark.read.parquet(f"{self.path}/v{self.version}")
 
+    def _met(self, rows: DataFrame, keys: DataFrame) -> list[Column]:
+        """The keys of rows are those in keys (_k0, _k1 ...); NULL is a key like others."""
+        return [rows[k].eqNullSafe(keys[f"_k{i}"]) for i, k in enumerate(self.key)]
+
     def __call__(self, changes: DataFrame, batch: int) -> None:
         if self.version is not None and batch <= self.version:
             return
@@ -128,8 +132,8 @@ class Upsert:
         last = changes.groupBy(*self.key).agg(F.max_by(F.struct(*row), order).alias("_r"), F.max_by("_sign", order).alias("_s"), F.min_by("_sign", order).alias("_first"))
         now = self.table()
         if now is not None:
-            there = now.select(*self.key, F.lit(True).alias("_there"))
-            last = last.join(there, self.key, "left")
+            there = now.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)], F.lit(True).alias("_there"))
+            last = last.join(there, self._met(last, there), "left").drop(*[f"_k{i}" for i in range(len(self.key))])
         else:
             last = last.withColumn("_there", F.lit(None).cast("boolean"))
         is_there = F.coalesce("_there", F.lit(False))
@@ -141,7 +145,8 @@ class Upsert:
         last = last.where(~skip)
         new = last.where("_s > 0").select("_r.*")
         if now is not None:
-            new = now.join(last.select(*self.key), self.key, "left_anti").select(*row).unionByName(new.select(*row))
+            gone = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.key)])
+            new = now.join(gone, self._met(now, gone), "left_anti").select(*row).unionByName(new.select(*row))
         new.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
         self.version = batch
         path, fs = self._folder()

@@ -210,3 +210,13 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     last(batch((2, "b", -1, 6), (2, "B", 1, 7)), 2)
     assert sorted(map(tuple, last.table().collect())) == [(2, "B"), (3, "c")]
     assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.is_dir()) == ["v1", "v2"]
+
+
+def test_upserts_meet_null_keys(spark, tmp_path):
+    table = sinks.Upsert(spark, str(tmp_path / "t"), ["g"])
+    rows = lambda *r: spark.createDataFrame(r, "g string, v long, _sign int")
+    table(rows((None, 1, 1), ("a", 2, 1)), 0)
+    table(rows((None, 1, -1), (None, 5, 1)), 1)
+    assert got(table.table()) == [("a", 2), (None, 5)]
+    table(rows((None, 5, -1)), 2)
+    assert got(table.table()) == [("a", 2)]
