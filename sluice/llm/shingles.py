@@ -1,4 +1,4 @@
-"""Near copies by word shingles: an exact set-similarity join by prefixes, each pair verified on its words."""
+"""Near copies by word shingles: SimHash and its grid find pairs, each verified on its words; an exact join by prefixes adds what these miss."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import dropped, join_salted, kept, mapped, written
 from sluice.llm.components import components
-from sluice.llm.simhash import grouped
+from sluice.llm.simhash import grouped, simhash, wide_links
 from sluice.llm.words import ODD, hashes, mixed, split
 
 #: Words of a shingle, and the least Jaccard similarity of two texts' sets of shingles.
 RUN, SIMILARITY = 5, Fraction(4, 5)
+#: Bits at which SimHashes of texts are taken for those of near copies: such texts lie about 10 apart at SIMILARITY.
+RADIUS = 11
 #: Rows (at most about) whose shingles are counted, the count that makes a shingle common, and how many are told to the
 #: tasks at most. They set the order of the shingles alone, so only the time taken.
 COUNT_FROM, COMMON, MOST_COMMON = 20_000, 4, 100_000
@@ -86,8 +88,8 @@ def _sketches(owner: np.ndarray, h: np.ndarray, n: np.ndarray):
 
 
 def prefixes(docs: DataFrame, run: int, least: Fraction, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _th, _fp, _n, _prefix, _sketch) per row of docs: its id, a hash of its text, a hash and the size of its set of shingles, and the first
-    n - ceil(least * n) + 1 of its n shingles in one order for all rows, the common ones last; and its sketch."""
+    """(_id, _th, _fp, _n, _prefix, _sketch, _sim) per row of docs: its id, a hash of its text, a hash and the size of its set of shingles, and the first
+    n - ceil(least * n) + 1 of its n shingles in one order for all rows, the common ones last; its sketch, and its SimHash."""
     common = _common(docs, run, id_col, text_col)
     table = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common).astype(np.uint64)))
 
@@ -115,10 +117,21 @@ def prefixes(docs: DataFrame, run: int, least: Fraction, id_col: str, text_col:
             keep = np.arange(len(h)) - at[owner] < first[owner]
             sketch = _sketches(owner, h, n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first)]).astype(np.int32)), pa.array(h[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists, sketch], names=["_id", "_th", "_fp", "_n", "_prefix", "_sketch"])
+            sim = pa.array([simhash(t.as_py(), run) for t in b.column("_text").cast(pa.binary())], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_th"), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), lists, sketch, sim], names=["_id", "_th", "_fp", "_n", "_prefix", "_sketch", "_sim"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    return mapped(rows, own, f"_id {docs.schema[id_col].dataType.simpleString()}, _th bigint, _fp bigint, _n int, _prefix array<bigint>, _sketch array<bigint>")
+    return mapped(rows, own, f"_id {docs.schema[id_col].dataType.simpleString()}, _th bigint, _fp bigint, _n int, _prefix array<bigint>, _sketch array<bigint>, _sim bigint")
+
+
+def by_simhash(sets: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of sets (a written table, one row per `_fp`) to verify: of those with one SimHash the least with each
+    other, of those with SimHashes that wide_links() links the least ones."""
+    of = written(sets.groupBy("_sim").agg(F.min("_fp").alias("_least"), F.count(F.lit(1)).alias("_many")))
+    same = join_salted(sets.select("_sim", "_fp"), of, ["_sim"], "_many", sets.count()).select(F.col("_least").alias("a"), F.col("_fp").alias("b"))
+    near = written(wide_links(of.select(F.col("_sim").alias("_fp")), radius))
+    near = near.join(of.select(F.col("_sim").alias("a"), F.col("_least").alias("x")), "a").join(of.select(F.col("_sim").alias("b"), F.col("_least").alias("y")), "b")
+    return same.where("a <> b").unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def cells(sets: DataFrame) -> DataFrame:
@@ -207,6 +220,8 @@ def near_copies(docs: DataFrame, run: int = RUN, least: Fraction = SIMILARITY, i
     """(_id, _th, _fp, _component) per row of docs, as simhash.near_duplicates gives them: here texts link whose sets of
     shingles of `run` words have a Jaccard similarity of `least` or more.
 
+    First SimHash: fingerprints of the texts' shingles meet in its grid at RADIUS or fewer bits, and the pairs are verified.
+    64 bits can't bring all pairs of that similarity together, so an exact search follows among the sets that are still apart.
     Two sets that similar share one of their prefixes' shingles, a cell. It goes by rounds: in each, leaders
     are verified against all others of their cell that are not in their component by then. First one set of a cell
     leads; then all of it where they are FEW, else eight times as many in each round. Cells are done when all sets that
@@ -215,9 +230,8 @@ def near_copies(docs: DataFrame, run: int = RUN, least: Fraction = SIMILARITY, i
     Words are as in simhash; texts without a word are alike.
     """
     rows = written(prefixes(docs, run, least, id_col, text_col))
-    sets = rows.groupBy("_fp").agg(F.min("_th").alias("_th"), F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in ("_n", "_prefix", "_sketch")])
+    sets = rows.groupBy("_fp").agg(F.min("_th").alias("_th"), F.count(F.lit(1)).alias("_copies"), F.min("_sim").alias("_sim"), *[F.first(c).alias(c) for c in ("_n", "_prefix", "_sketch")])
     sets = written(sets)
-    now = cells(sets)
     n_rows = rows.count()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -228,24 +242,22 @@ def near_copies(docs: DataFrame, run: int = RUN, least: Fraction = SIMILARITY, i
         texts = written(join_salted(texts, reps, ["_th"], "_copies", n_rows).select("_fp", "_text").dropDuplicates(["_fp"]))
         return alike(near, texts, run, least)
 
-    now = now.withColumn("_root", F.col("_fp"))
-    edges, quota, done = None, 1, F.lit(False)
+    pairs = written(by_simhash(sets))
+    edges = kept(partial(verified, pairs))
+    dropped(pairs)
+    now, quota, done = cells(sets), 1, F.lit(False)
     while total := now.count():
+        label = components(edges).select(F.col("node").alias("_fp"), F.col("root").alias("_to"))
+        edges = label.select(F.col("_fp").alias("a"), F.col("_to").alias("b")).where("a <> b")  # they join the same sets, with one link a set
+        now = written(now.join(label, "_fp", "left").select("_cell", "_fp", "_n", "_i", "_c", "_lead", "_bits", F.coalesce("_to", "_fp").alias("_root")))
+        open_ = now.where(~done).groupBy("_cell").agg(F.min("_root").alias("x"), F.max("_root").alias("y"), F.first("_c").alias("_c")).where("x <> y")
+        now = written(join_salted(now, written(open_.select("_cell", F.col("_c").alias("_all"))), ["_cell"], "_all", total).drop("_all"))
         leader = _is_leader(quota)
         pairs = written(_met(now, leader, done, least))
         found = kept(partial(verified, pairs))
         dropped(pairs)
-        edges = found if edges is None else written(edges.unionByName(found))
+        edges = written(edges.unionByName(found))
         done, quota = leader, 8 * quota
         now = now.where(F.col("_c") > (2 if quota == 8 else FEW))
-        if now.isEmpty():
-            break
-        label = components(edges).select(F.col("node").alias("_fp"), F.col("root").alias("_to"))
-        edges = label.select(F.col("_fp").alias("a"), F.col("_to").alias("b")).where("a <> b")  # they join the same sets, with one link a set
-        now = written(now.join(label, "_fp", "left").select("_cell", "_fp", "_n", "_i", "_c", "_lead", "_bits", F.coalesce("_to", "_fp").alias("_root")))
-        open_ = now.where(~done).groupBy("_cell").agg(F.min("_root").alias("x"), F.max("_root").alias("y"), F.first("_c").alias("_c")).where("x <> y")
-        now = written(join_salted(now, written(open_.select("_cell", F.col("_c").alias("_all"))), ["_cell"], "_all", total).drop("_all"))
     dropped(sets)
-    if edges is None:
-        edges = rows.select(F.col("_fp").alias("a"), F.col("_fp").alias("b")).limit(0)
     return grouped(rows.select("_id", "_th", "_fp"), lambda _: edges)

@@ -11,6 +11,8 @@ from sluice.llm.components import components
 BITS, SEGMENT, RADIUS = 64, 4, 2
 #: Place and size of each third of the bits; fingerprints that are verified against each other in one place, at most.
 THIRDS, MANY = ((0, 21), (21, 21), (42, 22)), 64
+#: Fingerprints that one is compared with in a bucket of a cell of one third's grid, at most.
+AHEAD = 2048
 
 
 def simhash(text: bytes | None, run: int = 3, step: int = 1 << 18) -> int:
@@ -43,12 +45,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return mapped(rows, run, f"_id {docs.schema[id_col].dataType.simpleString()}, _th bigint, _fp bigint")
 
 
-def _cells(fp: Column) -> Column:
-    """The grid cells within Manhattan distance 1 of fp's vector of segment bit counts, three bits a coordinate."""
-    k = BITS // SEGMENT
-    counts = [F.bit_count(F.shiftrightunsigned(fp, SEGMENT * i).bitwiseAND(F.lit((1 << SEGMENT) - 1))).cast("long") for i in range(k)]
-    at = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts[1:], 1)), counts[0])
-    up = [F.when(c < SEGMENT, at + (1 << 3 * i)) for i, c in enumerate(counts)]
+def _cells(fp: Column, first: int = 0, bits: int = BITS) -> Column:
+    """The grid cells within Manhattan distance 1 of fp's vector of segment bit counts, three bits a coordinate; the
+    segments are those of the `bits` bits from `first` on, which is told above 48 bits."""
+    sizes = [min(SEGMENT, bits - i) for i in range(0, bits, SEGMENT)]
+    counts = [F.bit_count(F.shiftrightunsigned(fp, first + SEGMENT * i).bitwiseAND(F.lit((1 << size) - 1))).cast("long") for i, size in enumerate(sizes)]
+    at = sum((F.shiftleft(c, 3 * i) for i, c in enumerate(counts[1:], 1)), counts[0] + F.lit(first << 48) if first else counts[0])
+    up = [F.when(c < sizes[i], at + (1 << 3 * i)) for i, c in enumerate(counts)]
     down = [F.when(c > 0, at - (1 << 3 * i)) for i, c in enumerate(counts)]
     return F.array_compact(F.array(at, *up, *down))
 
@@ -87,6 +90,67 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(some).unionByName(stars).distinct()
 
 
+def _linked(cell, fp, radius: int):
+    """Of fingerprints `fp` in cells `cell` of a third's grid: per bucket each with the next one at
+    `radius` or fewer bits, as arrays a < b. A bucket holds those of a cell alike in one third of the cell's third of the bits."""
+    import numpy as np
+
+    first = cell >> 48
+    own = (fp >> first) & np.select([first == x for x, _ in THIRDS], [(1 << size) - 1 for _, size in THIRDS])
+    pairs = [np.zeros((2, 0), np.int64)]
+    for k in range(3):
+        bits = own >> 7 * k if k == 2 else (own >> 7 * k) & 127
+        order = np.lexsort((fp, bits, cell))
+        f = fp[order]
+        new = np.flatnonzero((np.diff(cell[order]) != 0) | (np.diff(bits[order]) != 0)) + 1
+        edge = np.concatenate([[0], new, [len(f)]])
+        end = np.repeat(edge[1:], np.diff(edge))
+        i = np.arange(len(f))
+        for ahead in range(1, AHEAD + 1):
+            i = i[i + ahead < end[i]]
+            if not len(i):
+                break
+            near = np.bitwise_count((f[i] ^ f[i + ahead]).view(np.uint64)) <= radius
+            pairs.append(np.stack([f[i[near]], f[i[near] + ahead]]))
+            i = i[~near]
+    return np.unique(np.concatenate(pairs, axis=1), axis=1)
+
+
+def wide_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, at `radius` or fewer bits of the distinct fingerprints in fps (_fp), by the grid of each third of the bits.
+
+    Two fingerprints at 8 or fewer bits have 2 or fewer of them in one third, and so a cell of this third's grid at
+    distance 1 or less from both, and one of three buckets of it; most of those at a few bits more have so too. In each bucket a
+    fingerprint is linked to the next one within the radius, among the AHEAD that follow, so a dense group gives chains
+    and not all its pairs. Fingerprints beyond 8 bits, or linked elsewhere in their buckets, can stay apart: what must
+    miss no pair has to look for the rest by other means.
+    """
+    cells = F.concat(*[_cells(F.col("_fp"), first, size) for first, size in THIRDS])
+    cells = fps.select("_fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp").select("_fp", F.explode(cells).alias("_cell"))
+
+    def link(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def done(cell, fp):
+            a, b = _linked(cell, fp, radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                cell = np.concatenate([cell, batch.column("_cell").to_numpy()])
+                fp = np.concatenate([fp, batch.column("_fp").to_numpy()])
+                last = int(np.searchsorted(cell, cell[-1]))  # rows come by cell; the last one can go on in the next batch
+                if last:
+                    yield done(cell[:last], fp[:last])
+                    cell, fp = cell[last:], fp[last:]
+        if len(cell):
+            yield done(cell, fp)
+
+    return mapped(cells.repartition("_cell").sortWithinPartitions("_cell"), link, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, _th, _fp, _component) per row of docs: fingerprints at RADIUS or fewer bits link, and `_component` is the
     smallest id reachable, itself included.
